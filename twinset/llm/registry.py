@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, sharding
+from . import mixing, neighbours, packing, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing.op2_packing,
         "op3_sharding": sharding.op3_sharding,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op7_warc": warc.op7_warc,
+        "op8_neighbours": neighbours.op8_neighbours,
         "op10_mixing": mixing.op10_mixing,
     }
 
