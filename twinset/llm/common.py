@@ -103,3 +103,12 @@ def dense_slots(df: DataFrame, group: str, order: list[str], slot: str, partitio
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+#: Rows of a few bytes that may be broadcast: some tens of MB as a hash table.
+BROADCAST_ROWS = 400_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a stored table of narrow rows, with a broadcast hint if it has at most so many rows; else Spark shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
