@@ -114,21 +114,25 @@ def mix(docs: DataFrame, weights: list[float], limit: float = 3.0, text: str = "
 
 
 def mixed_documents(docs: DataFrame, weights: list[float], limit: float = 3.0) -> DataFrame:
-    """The mix itself: the rows of docs, each repeated as often as it is taken, with their own columns.
+    """The mix itself: the rows of docs (doc_id, text, source), with all their columns, each as often as it is taken.
 
-    Copies are found for (doc_id, source, size) and joined back; rows that agree in all three are numbered, and take
-    the copies of the row of the same number.
+    Copies are found for (doc_id, source, size). Rows that agree in all three share what their copies come to: those
+    rows are numbered in an order of their text, and the first ones take the larger numbers of copies.
     """
-    size, tie, row = (free_name(docs, x) for x in ("_size", "_tie", "_row"))
-    same = lambda ids: Window.partitionBy(*ids).orderBy(tie)
-    plan = mix(docs, weights, limit).withColumn(tie, -F.col("copies"))
+    size, row = free_name(docs, "_size"), free_name(docs, "_row")
     ids = ["doc_id", "source", "size"]
-    plan = plan.withColumn(row, F.row_number().over(same(ids))).select(*[F.col(c).alias(f"_{c}_of") for c in ids], F.col(row).alias("_row_of"), "copies")
-    left = docs.withColumn(size, n_words_of(F.col("text"))).withColumn(tie, F.xxhash64("text"))
-    left = left.withColumn(row, F.row_number().over(same(["doc_id", "source", size])))
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id_of")) & F.col("source").eqNullSafe(F.col("_source_of")) & (F.col(size) == F.col("_size_of")) & (F.col(row) == F.col("_row_of"))
-    joined = left.join(plan, on).where(F.col("copies") > 0)
-    return joined.withColumn(row, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    plan = mix(docs, weights, limit).select(*ids, "copies")
+    plan = plan.groupBy(*ids).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
+    plan = plan.select(*[F.col(c).alias(f"_{c}_of") for c in ids], F.col("copies").alias("_copies_of"))
+    left = docs.withColumn(size, n_words_of(F.col("text")))
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id_of")) & F.col("source").eqNullSafe(F.col("_source_of")) & (F.col(size) == F.col("_size_of"))
+    joined = left.join(plan, on)
+    alike = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))
+    one = joined.where(F.size("_copies_of") == 1).withColumn(row, F.lit(1))
+    more = joined.where(F.size("_copies_of") > 1).withColumn(row, F.row_number().over(alike))
+    times = F.element_at("_copies_of", F.col(row))
+    both = one.unionByName(more).withColumn(size, times).where(F.col(size) > 0)
+    return both.withColumn(row, F.explode(F.sequence(F.lit(1), F.col(size).cast("int")))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, neighbours, packing, quality, sharding, simhash, substring, warc
+from . import html, lines, mixing, neighbours, packing, quality, sharding, simhash, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html": html.op1_html,
         "op2_packing": packing.op2_packing,
         "op3_sharding": sharding.op3_sharding,
         "op4_substring": substring.op4_substring,
