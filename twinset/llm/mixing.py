@@ -116,21 +116,21 @@ def mix(docs: DataFrame, weights: list[float], limit: float = 3.0, text: str = "
 def mixed_documents(docs: DataFrame, weights: list[float], limit: float = 3.0) -> DataFrame:
     """The mix itself: the rows of docs (doc_id, text, source), with all their columns, each as often as it is taken.
 
-    Copies are found for (doc_id, source, size). Rows that agree in all three share what their copies come to: those
-    rows are numbered in an order of their text, and the first ones take the larger numbers of copies.
+    Copies are found for (doc_id, source, size). Rows that agree in all three have one of two numbers of copies; they
+    are numbered in an order of their text, and the first ones take the larger.
     """
     size, row = free_name(docs, "_size"), free_name(docs, "_row")
     ids = ["doc_id", "source", "size"]
-    plan = mix(docs, weights, limit).select(*ids, "copies")
-    plan = plan.groupBy(*ids).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
-    plan = plan.select(*[F.col(c).alias(f"_{c}_of") for c in ids], F.col("copies").alias("_copies_of"))
+    plan = mix(docs, weights, limit).groupBy(*ids, "copies").agg(F.count(F.lit(1)).alias("n"))
+    plan = plan.groupBy(*ids).agg(F.min("copies").alias("_low"), F.max("copies").alias("_high"), F.max_by("n", "copies").alias("_n_high"), F.sum("n").alias("_n"))
+    plan = plan.select(*[F.col(c).alias(f"_{c}_of") for c in ids], "_low", "_high", "_n_high", "_n").where("_high > 0")
     left = docs.withColumn(size, n_words_of(F.col("text")))
     on = F.col("doc_id").eqNullSafe(F.col("_doc_id_of")) & F.col("source").eqNullSafe(F.col("_source_of")) & (F.col(size) == F.col("_size_of"))
     joined = left.join(plan, on)
     alike = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))
-    one = joined.where(F.size("_copies_of") == 1).withColumn(row, F.lit(1))
-    more = joined.where(F.size("_copies_of") > 1).withColumn(row, F.row_number().over(alike))
-    times = F.element_at("_copies_of", F.col(row))
+    one = joined.where("_low = _high").withColumn(row, F.lit(1))
+    more = joined.where("_low < _high").withColumn(row, F.row_number().over(alike))
+    times = F.when(F.col(row) <= F.col("_n_high"), F.col("_high")).otherwise(F.col("_low"))
     both = one.unionByName(more).withColumn(size, times).where(F.col(size) > 0)
     return both.withColumn(row, F.explode(F.sequence(F.lit(1), F.col(size).cast("int")))).select(*docs.columns)
 
