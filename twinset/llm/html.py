@@ -137,23 +137,21 @@ def _reachable(stack: list[tuple[str, bool]], tag: str) -> bool:
     return False
 
 
-# A wrapper: [label, optional, repeated, pages, chars, link chars, fixed text or None, kind, children]. Its kind: x
-# boilerplate, a article, m named as content, blank.
+# A wrapper: [label, optional, repeated, pages, chars, link chars, hashes of the texts that all pages have there, kind,
+# children]. Its kind: x boilerplate, a article, m named as content, blank.
 def _node(label: str, kind: str = "") -> list:
-    return [label, False, False, 1, 0, 0, "", kind, []]
+    return [label, False, False, 1, 0, 0, [], kind, []]
 
 
 def page_tree(page: str) -> list:
     root = _node("")
-    path, extra = [root], 0
+    path, extra, texts = [root], 0, [""]
     for token in tokens(page):
         if token[0] == TEXT:
-            text = " ".join(token[1].split())
-            if text:
-                top = path[-1]
-                top[4] += len(text)
-                top[5] += len(text) if token[2] else 0
-                top[6] = f"{top[6]} {text}".strip()[:200] if top[6] is not None else None
+            texts[-1] += token[1]
+            n = len("".join(token[1].split()))
+            path[-1][4] += n
+            path[-1][5] += n if token[2] else 0
         elif token[0] == OPEN:
             if extra or len(path) > DEPTH:
                 extra += 1
@@ -161,15 +159,27 @@ def page_tree(page: str) -> list:
             node = _node(token[1], "x" if token[3] else "a" if token[2] == "article" else "m" if token[4] else "")
             path[-1][8].append(node)
             path.append(node)
+            texts.append("")
         elif extra:
             extra -= 1
         else:
-            node = path.pop()
-            node[8] = fold(node[8])
-    root[8] = fold(root[8])
+            _close(path.pop(), texts.pop())
+    _close(root, texts.pop())
     return root
 
 
+def _close(node: list, text: str) -> None:
+    text = " ".join(text.split())
+    node[6] = [_text_hash(text)] if text else []
+    node[8] = fold(node[8])
+
+
+def _text_hash(text: str) -> str:
+    from xxhash import xxh64_hexdigest
+
+    return xxh64_hexdigest(text)
+
+
 def fold(items: list[list], longest: int = 3) -> list[list]:
     """Repeated neighbours become one: single items, and groups of up to `longest` items that recur in turn."""
     for size in range(1, longest + 1):
@@ -191,8 +201,7 @@ def merge(a: list, b: list, same_page: bool = False) -> None:
     a[1], a[2] = a[1] or b[1], a[2] or b[2]
     a[3] = max(a[3], b[3]) if same_page else a[3] + b[3]
     a[4], a[5] = a[4] + b[4], a[5] + b[5]
-    if a[6] != b[6]:
-        a[6] = None
+    a[6] = sorted({*a[6], *b[6]} if same_page else {*a[6]} & {*b[6]})
     a[7] = a[7] or b[7]
     x, y = a[8], b[8]
     if [i[0] for i in x] == [i[0] for i in y]:
@@ -222,8 +231,8 @@ def merge(a: list, b: list, same_page: bool = False) -> None:
 
 
 def expression(wrapper: list) -> str:
-    """The wrapper as a regular expression over tags and #text."""
-    inner = ("" if wrapper[6] == "" else "#text" if wrapper[6] is None else f"'{wrapper[6]}'") + "".join(expression(c) for c in wrapper[8])
+    """The wrapper as a regular expression over tags, #text, and #fixed for texts that all pages have."""
+    inner = ("" if not wrapper[4] else "#fixed" if wrapper[6] and not wrapper[2] else "#text") + "".join(expression(c) for c in wrapper[8])
     body = f"<{wrapper[0]}>{inner}</>" if wrapper[0] else inner
     return f"({body})" + ("*" if wrapper[1] and wrapper[2] else "?" if wrapper[1] else "+") if wrapper[1] or wrapper[2] else body
 
@@ -274,7 +283,7 @@ def main_text(page: str | None, rule: dict) -> str:
     def flush() -> None:
         if text:
             block = " ".join("".join(text).split())
-            if block and not (roots is None and (rule["fixed"].get(path[-1]) == block[:200] or path[-1] in rule["links"])):
+            if block and not (roots is None and (_text_hash(block) in rule["fixed"].get(path[-1], ()) or path[-1] in rule["links"])):
                 blocks.append(block)
             text.clear()
 
