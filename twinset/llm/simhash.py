@@ -25,7 +25,7 @@ from .common import free_name, if_small, stored, text_key
 from .graph import components
 
 SEED = 42
-#: A posting list of more fingerprints is not paired but split by further bytes.
+#: In links(), a posting list of more fingerprints is not paired but split by further bytes.
 PAIRED = 48
 
 
@@ -267,43 +267,81 @@ def _jaccard(threshold: float):
     return run
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """nodes: (node, f0..f3). Pairs (u, v) of nodes with u < v that share a posting list and pass tally and distance.
+F4 = [f"f{k}" for k in range(BITS // 64)]
 
-    A list of up to PAIRED nodes gives its pairs. In a longer one, every node is paired with the list's hub: the node
-    that is in the fullest lists altogether, which for copies of one text is the text that all of them resemble most.
-    """
+
+def _alike(a: str, b: str) -> Column:
+    """Whether the fingerprints in two structs pass tally and distance."""
+    x, y = ([F.col(f"{at}.{c}") for c in F4] for at in (a, b))
+    return (differing_bits(x, y) <= MOST_BITS) & (shared_bytes(x, y) >= LEAST_BYTES)
+
+
+def posting_lists(nodes: DataFrame) -> DataFrame:
+    """nodes: (node, f0..f3). (key, node, fp, hub): the posting lists of two nodes or more, whose hub is the node that is
+    in the fullest lists altogether, which for copies of one text is the text that all of them resemble most."""
     postings = nodes.mapInArrow(_post, "key int, node long")
-    crowded = stored(postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "postings")
-    few = crowded.where(F.col("n") <= PAIRED)
-    pairs = few.select("key", F.col("node").alias("u")).join(few.select("key", F.col("node").alias("v")), "key").where("u < v").select("u", "v")
-    long = crowded.where(F.col("n") > PAIRED)
-    weight = long.groupBy("node").agg(F.sum("n").alias("w"))
-    hubs = long.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("node"))).alias("hub")).select("key", (-F.col("hub.node")).alias("hub"))
-    stars = long.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))
-    pairs = pairs.unionByName(stars).distinct()
-    f = [f"f{k}" for k in range(BITS // 64)]
-    end = lambda at: nodes.select(F.col("node").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in f])
-    joined = pairs.join(end("u"), "u").join(end("v"), "v")
-    a, b = ([F.col(f"{at}_{c}") for c in f] for at in "uv")
-    return joined.where(differing_bits(a, b) <= MOST_BITS).where(shared_bytes(a, b) >= LEAST_BYTES).select("u", "v")
+    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = stored(postings.join(sizes, "key"), "postings")
+    weight = crowded.groupBy("node").agg(F.sum("n").alias("w")).join(nodes, "node")
+    weighed = stored(crowded.join(weight, "node").select("key", "node", "w", F.struct(*F4).alias("fp")), "weighed")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("node"), "fp")).alias("top"))
+    return weighed.join(hubs, "key").select("key", "node", "fp", F.struct((-F.col("top.node")).alias("node"), F.col("top.fp").alias("fp")).alias("hub"))
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (u, v), u < v, of each list's hub with its other nodes, of those that pass tally and distance."""
+    return lists.where("node <> hub.node").where(_alike("fp", "hub.fp")).select(*_ordered("node", "hub.node")).distinct()
+
+
+def other_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of a list's nodes but the hub, in different groups (node, root), of those that pass tally and distance.
+
+    A pair within a group can connect nothing more. The nodes of a list's largest group meet only those of others, so
+    that a list of copies, however long, gives no pairs.
+    """
+    rest = lists.where("node <> hub.node").select("key", "node", "fp").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = stored(rest, "rest")
+    per = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
+    mixed = rest.join(mixed.select("key", F.col("top.root").alias("most")), "key")
+    a = mixed.where("root <> most").select("key", F.struct("node", "root", "fp").alias("a"))
+    b = mixed.select("key", F.struct("node", "root", "fp", "most").alias("b"))
+    met = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.most")) | (F.col("a.node") < F.col("b.node")))
+    on = (F.col("ka") == F.col("kb")) & met & _alike("a.fp", "b.fp")
+    return a.withColumnRenamed("key", "ka").join(b.withColumnRenamed("key", "kb"), on).select(*_ordered("a.node", "b.node")).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs of nodes (node, key) whose texts in docs (key, text) have Jaccard similarity >= threshold."""
+    ends = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node"), "ends")
+    texts = docs.join(if_small(ends), "key").select("node", "text")
+    sets = stored(texts.mapInArrow(_sets(width), "node long, grams binary").dropDuplicates(["node"]), "grams")
+    x, y = (sets.select(F.col("node").alias(at), F.col("grams").alias(g)) for at, g in (("u", "x"), ("v", "y")))
+    return stored(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_jaccard(threshold), "u long, v long"), "verified")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """docs: (key, text). Two tables: (key, node), a number for each different text; (node, root), the groups of
     texts that chains of Jaccard similarity >= threshold over `width`-word shingles connect, of nodes with a partner.
+
+    Every pair that shares a posting list and passes tally and distance is verified or already within one group: first
+    each node with its lists' hubs, which grows with the nodes, then what is left between the groups so found.
     """
-    prints = stored(fingerprints(docs.select("key", "text"), PRINT_WIDTH, BITS, distinct=True), "wide")
-    f = [f"f{k}" for k in range(BITS // 64)]
-    numbered = prints.groupBy("key").agg(*[F.first(c).alias(c) for c in f]).withColumn("node", F.monotonically_increasing_id())
-    numbered = stored(numbered, "nodes")
-    pairs = stored(candidate_pairs(numbered.select("node", *f)), "pairs")
-    ends = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(numbered.select("node", "key"), "node"), "ends")
-    texts = docs.select("key", "text").join(if_small(ends), "key").select("node", "text")
-    sets = stored(texts.mapInArrow(_sets(width), "node long, grams binary").dropDuplicates(["node"]), "grams")
-    x, y = (sets.select(F.col("node").alias(at), F.col("grams").alias(g)) for at, g in (("u", "x"), ("v", "y")))
-    verified = pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_jaccard(threshold), "u long, v long")
-    return numbered.select("key", "node"), components(verified)
+    texts = docs.select("key", "text")
+    prints = fingerprints(texts, PRINT_WIDTH, BITS, distinct=True)
+    numbered = stored(stored(prints, "wide").groupBy("key").agg(*[F.first(c).alias(c) for c in F4]).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = numbered.select("node", "key")
+    lists = stored(posting_lists(numbered.select("node", *F4)), "lists")
+    edges = verified(stored(hub_pairs(lists), "hubs"), texts, nodes, width, threshold)
+    groups = components(edges)
+    more = stored(other_pairs(lists, groups), "others")
+    if more.isEmpty():
+        return nodes, groups
+    return nodes, components(edges.unionByName(verified(more, texts, nodes, width, threshold)))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
