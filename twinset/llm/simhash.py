@@ -280,8 +280,8 @@ def posting_lists(nodes: DataFrame) -> DataFrame:
     """nodes: (node, f0..f3). (key, node, fp, hub): the posting lists of two nodes or more, whose hub is the node that is
     in the fullest lists altogether, which for copies of one text is the text that all of them resemble most."""
     postings = nodes.mapInArrow(_post, "key int, node long")
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = stored(postings.join(sizes, "key"), "postings")
+    # most keys are of one node: a hash table of them would hold all and combine nothing, a sort spills
+    crowded = stored(postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "postings")
     weight = crowded.groupBy("node").agg(F.sum("n").alias("w")).join(nodes, "node")
     weighed = stored(crowded.join(weight, "node").select("key", "node", "w", F.struct(*F4).alias("fp")), "weighed")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("node"), "fp")).alias("top"))
@@ -317,7 +317,7 @@ def other_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, threshold: float) -> DataFrame:
     """The pairs of nodes (node, key) whose texts in docs (key, text) have Jaccard similarity >= threshold."""
-    ends = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node"), "ends")
+    ends = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node"), "ends")
     texts = docs.join(if_small(ends), "key").select("node", "text")
     sets = stored(texts.mapInArrow(_sets(width), "node long, grams binary").dropDuplicates(["node"]), "grams")
     x, y = (sets.select(F.col("node").alias(at), F.col("grams").alias(g)) for at, g in (("u", "x"), ("v", "y")))
