@@ -339,3 +339,22 @@ def test_wrapper_is_a_regular_expression_without_unions():
     trees = [html.page_tree(p) for p in ("<ul><li>a<li>b</ul><p>x", "<ul><li>c</ul><p>x<h2>h</h2>")]
     html.merge(trees[0], trees[1])
     assert html.expression(trees[0]) == "<ul>(<li>#text</>)+</><p>#fixed</>(<h2>#fixed</>)?"
+
+
+def texts_of(pages):
+    trees = [html.page_tree(p) for p in pages]
+    for t in trees[1:]:
+        html.merge(trees[0], t)
+    rule = html.rule_of(trees[0])
+    return [html.main_text(p, rule) for p in pages]
+
+
+def test_names_do_not_hide_main_text():
+    page = """<html class="no-cookies"><body class="has-sidebar"><div class="layout header-fixed"><div class="sidebar">s {n}</div><article class="post with-sidebar comments-open"><p>Own {n} <a class="popup" href=x>word</a></p>
+    <section id="side-effects"><p>Nausea {n}</p></section><section id="discussion"><p>We find {n}</p></section><h2 id="Related_work">Related {n}</h2>
+    <div class="comments-area">reader {n}</div><div class="ad">buy {n}</div></article></div></body></html>"""
+    assert texts_of([page.format(n=n) for n in range(4)]) == [f"Own {n} word\nNausea {n}\nWe find {n}\nRelated {n}" for n in range(4)]
+    plain = "<body class='has-sidebar'><div id=content class=no-sidebar><p>Own {n}</p></div><div class=sidebar-left>s</div></body>"
+    assert texts_of([plain.format(n=n) for n in range(4)]) == [f"Own {n}" for n in range(4)]
+    bare = "<body><div class='page no-sidebar'><p>Own {n}</p><div class=menu>m {n}</div></div></body>"
+    assert texts_of([bare.format(n=n) for n in range(4)]) == [f"Own {n}" for n in range(4)]

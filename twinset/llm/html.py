@@ -7,7 +7,10 @@ Wrappers are mergeable: each task aligns the pages that it sees, and the tasks'
 so that a host with a third of all pages is no single task's work. A wrapper's slots and fixed texts, with the share of
 links in each, decide what of the host's pages is main text: the outermost articles, else the main element, else an
 element named as content, else the body without fixed texts and lists of links. Menus, headers, footers, sidebars,
-notices, adverts, forms, comments and the like are never main text, wherever they stand.
+notices, adverts, forms, comments and the like are no main text. Tags and roles tell them anywhere. Of class names and
+ids, inside a root only those tell them that say nothing else ("comments-area", not "side-effects"); outside one, a part
+is enough ("post-header"), but an element so marked may still hold the root. The page, its body, main and articles are
+never told by class or id.
 """
 
 from __future__ import annotations
@@ -41,6 +44,17 @@ BOILER_WORDS = frozenset(
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget toolbar pagination pager skip copyright".split()
 )
 CONTENT_WORDS = frozenset("content article post entry story main text body".split())
+#: Words that leave a name's meaning as it is.
+FRAME_WORDS = frozenset("area block bar box button buttons column container group inline inner left link links list item outer panel right section slot top bottom unit wrap wrapper".split())
+#: Boilerplate words that inside a main text name other things too, in classes and ids, and those that headings' ids have.
+SOFT_WORDS = frozenset("side discussion popup header".split())
+SUBJECTS = SOFT_WORDS | frozenset("advertising alert banner copyright cookies footer login menu navigation notice notices overlay promotion recommendations recommended related reply search sharing social sponsor subscription toolbar widget".split())
+#: Elements that no class or id makes boilerplate.
+UNMARKED = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What marks an element as boilerplate: a part of a name; a name that says nothing else but may name other things inside
+#: a main text; a tag, a role or a name that is clear anywhere.
+PART_OF_NAME, NAME, CLEAR = 1, 2, 3
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Deeper tags count to the last one within.
@@ -49,25 +63,43 @@ FIXED_PAGES = 3
 OPEN, CLOSE, TEXT = 0, 1, 2
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The tag's label, and whether it is boilerplate, or named as content, by its name, class, id or role."""
-    boiler, content, names = tag in BOILER_TAGS, tag == "main", []
+def _mark(value: str, subjects: frozenset, heading_id: bool) -> tuple[int, bool]:
+    """How a class or id marks its element as boilerplate, 0 for not at all, and whether it says that it is content."""
+    mark, whole = 0, False
+    for name in value.split():
+        parts = {p.lower() for p in _PART.findall(name) if not p.isdigit()}
+        boiler = parts & BOILER_WORDS
+        rest = parts - BOILER_WORDS - FRAME_WORDS
+        if not boiler:
+            whole |= bool(rest) and rest <= CONTENT_WORDS
+        elif rest - CONTENT_WORDS:
+            mark = max(mark, PART_OF_NAME)
+        else:
+            mark = max(mark, CLEAR if boiler - subjects and not heading_id else NAME)
+    return mark, whole
+
+
+def _label(tag: str, attributes: str) -> tuple[str, int, bool]:
+    """The tag's label, how it is marked as boilerplate, and whether it is named as content, by its name, class, id or role."""
+    mark, content, whole, names = CLEAR if tag in BOILER_TAGS else 0, tag == "main", False, []
     if "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value = next(filter(None, values), "")
-            parts = {p.lower() for p in _PART.findall(value)}
             if name.lower() == "role":
-                boiler |= value.lower() in BOILER_ROLES
+                mark = CLEAR if value.lower() in BOILER_ROLES else mark
                 content |= value.lower() == "main"
             else:
-                boiler |= bool(parts & BOILER_WORDS)
-                content |= bool(parts & CONTENT_WORDS)
+                own, says = _mark(value, SUBJECTS if name.lower() == "id" else SOFT_WORDS, name.lower() == "id" and tag in HEADINGS)
+                mark, whole = mark if tag in UNMARKED else max(mark, own), whole or says
+                content |= not CONTENT_WORDS.isdisjoint(p.lower() for p in _PART.findall(value))
                 names.append(re.sub(r"\d+", "#", value))
-    return ".".join([tag, *names])[:80], boiler, content
+    if whole and mark == PART_OF_NAME:
+        mark = 0
+    return ".".join([tag, *names])[:80], mark, content
 
 
 def tokens(page: str) -> Iterator[tuple]:
-    """(OPEN, label, tag, boilerplate?, content?, block?), (CLOSE, block?), (TEXT, text, in a link?), well nested."""
+    """(OPEN, label, tag, boilerplate mark, content?, block?), (CLOSE, block?), (TEXT, text, in a link?), well nested."""
     stack: list[tuple[str, bool]] = []  # (tag, block?)
     links = at = 0
     raw = None
@@ -100,14 +132,14 @@ def tokens(page: str) -> Iterator[tuple]:
             continue
         if tag in VOID:
             if tag == "hr":
-                yield OPEN, "hr", tag, False, False, True
+                yield OPEN, "hr", tag, 0, False, True
                 yield CLOSE, True
             else:
                 yield TEXT, " ", links > 0
             continue
-        label, boiler, content = _label(tag, attributes)
-        if inline and not boiler:
-            links += tag == "a"
+        label, mark, content = _label(tag, attributes)
+        links += tag == "a"
+        if inline and not mark:
             continue
         if tag in _CLOSES_P and stack and stack[-1][0] == "p":
             yield CLOSE, stack.pop()[1]
@@ -120,7 +152,7 @@ def tokens(page: str) -> Iterator[tuple]:
         if not inline:
             links = 0
         stack.append((tag, not inline))
-        yield OPEN, label, tag, boiler, content, not inline
+        yield OPEN, label, tag, mark, content, not inline
     if not raw and at < len(page):
         yield TEXT, entities.unescape(page[at:]), links > 0
     while stack:
@@ -138,7 +170,8 @@ def _reachable(stack: list[tuple[str, bool]], tag: str) -> bool:
 
 
 # A wrapper: [label, optional, repeated, pages, chars, link chars, hashes of the texts that all pages have there, kind,
-# children]. Its kind: x boilerplate, a article, m named as content, blank.
+# children]. Its kind: x boilerplate, y and w marked by name and by part of a name, a article, m named as content, blank;
+# wm is both.
 def _node(label: str, kind: str = "") -> list:
     return [label, False, False, 1, 0, 0, [], kind, []]
 
@@ -156,7 +189,7 @@ def page_tree(page: str) -> list:
             if extra or len(path) > DEPTH:
                 extra += 1
                 continue
-            node = _node(token[1], "x" if token[3] else "a" if token[2] == "article" else "m" if token[4] else "")
+            node = _node(token[1], "x" if token[3] == CLEAR else "y" if token[3] == NAME else ("w" if token[3] else "") + ("a" if token[2] == "article" else "m" if token[4] else ""))
             path[-1][8].append(node)
             path.append(node)
             texts.append("")
@@ -240,26 +273,30 @@ def expression(wrapper: list) -> str:
 def rule_of(wrapper: list) -> dict:
     """What of a host's pages is main text. Paths are rows of labels.
 
-    roots: groups of paths, the first group that a page has holds its main text. fixed, links: paths of texts that are
+    roots: groups of paths, the first group that a page has holds its main text; those under a mark by part of a name,
+    unless repeated, are the last groups. fixed, links: paths of texts that are
     the same on FIXED_PAGES pages or more, and of those mostly links; they count where the body is the root.
     """
-    groups: dict[str, list[str]] = {"a": [], "main": [], "m": []}
+    groups: dict[str, list[str]] = {k: [] for k in ("a", "main", "m", "wa", "wmain", "wm")}
     fixed, links = {}, []
-    todo = [(wrapper, "", False)]
+    todo = [(wrapper, "", "", False)]
     while todo:
-        node, path, inside = todo.pop()
+        node, path, under, inside = todo.pop()
         kind = node[7]
         if kind == "x":
             continue
-        if kind == "a" and not inside:
-            groups["a"].append(path)
-        elif kind == "m":
-            groups["main" if node[0].split(".")[0] == "main" else "m"].append(path)
+        if kind in ("y", "w", "wm") and not inside:
+            under = "y" if kind == "y" or under == "y" else "w"
+        if under != "y" and not inside and not (under and node[2]):
+            if kind == "a":
+                groups[under + "a"].append(path)
+            elif kind[-1:] == "m":
+                groups[under + ("main" if node[0].split(".")[0] == "main" else "m")].append(path)
         if node[6] and node[3] >= FIXED_PAGES:
             fixed[path] = node[6]
         if node[4] and 2 * node[5] > node[4] and node[0] not in ("p", "h1", "h2", "h3"):
             links.append(path)
-        todo += [(c, f"{path}>{c[0]}", inside or kind == "a") for c in node[8]]
+        todo += [(c, f"{path}>{c[0]}", under, inside or kind == "a") for c in node[8]]
     return {"roots": [sorted(set(g)) for g in groups.values() if g], "fixed": fixed, "links": sorted(set(links))}
 
 
@@ -276,6 +313,14 @@ def main_text(page: str | None, rule: dict) -> str:
         elif token[0] == CLOSE:
             paths.pop()
     roots = next((set(g) for g in rule["roots"] if present.intersection(g)), None)
+    blocks = _blocks(stream, rule, roots, PART_OF_NAME)
+    if not blocks and roots is None:  # all of the page is within an element with a telling part of a name
+        blocks = _blocks(stream, rule, roots, NAME)
+    return "\n".join(blocks)
+
+
+def _blocks(stream: list[tuple], rule: dict, roots: set | None, least: int) -> list[str]:
+    """The blocks of the roots, or without any of the body, where marks from `least` on count."""
     blocks: list[str] = []
     text: list[str] = []
     path, inside, boiler = [""], [roots is None], [False]
@@ -294,15 +339,17 @@ def main_text(page: str | None, rule: dict) -> str:
         elif token[0] == OPEN:
             if token[5]:
                 flush()
-            path.append(f"{path[-1]}>{token[1]}" if len(path) <= DEPTH else path[-1])
-            inside.append(inside[-1] or path[-1] in (roots or ()))
-            boiler.append(boiler[-1] or token[3])
+            deep = len(path) > DEPTH
+            path.append(path[-1] if deep else f"{path[-1]}>{token[1]}")
+            root = not deep and path[-1] in (roots or ())
+            boiler.append(not root and (boiler[-1] or token[3] >= (CLEAR if roots and inside[-1] else least)))
+            inside.append(inside[-1] or root)
         else:
             if token[1]:
                 flush()
             path.pop(), inside.pop(), boiler.pop()
     flush()
-    return "\n".join(blocks)
+    return blocks
 
 
 #: Hosts whose wrappers a task holds before it passes them on.
