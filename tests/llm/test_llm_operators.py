@@ -358,3 +358,22 @@ def test_names_do_not_hide_main_text():
     assert texts_of([plain.format(n=n) for n in range(4)]) == [f"Own {n}" for n in range(4)]
     bare = "<body><div class='page no-sidebar'><p>Own {n}</p><div class=menu>m {n}</div></div></body>"
     assert texts_of([bare.format(n=n) for n in range(4)]) == [f"Own {n}" for n in range(4)]
+
+
+def test_leaves_of_any_size_have_one_rule():
+    rng = random.Random(9)
+    names = [f"This story was written by {words(rng, 1)}{a} {words(rng, 1)}{b} in Rome" for a in "klmnopqrstuvwxyz" for b in "klmnopqrstuvwxyzijä"]
+    (only,) = lines.templates([(tuple(t.split()), set()) for t in sorted(names)])
+    assert " ".join(only[0]) == "This story was written by <*> <*> in Rome" and len(only[1]) == len(names) > 300
+    mixed = sorted({tuple(rng.choices(["a", "b", "<*>"], [8, 2, 1], k=n)) for n in [9] * 900})
+    expected = []
+    for i, tokens in enumerate(mixed):
+        for template, own in expected:
+            equal = [a for a, b in zip(template, tokens) if a == b]
+            if len(equal) >= 0.75 * 9 and 2 * sum(a != "<*>" for a in equal) >= 9:
+                template[:] = [a if a == b else "<*>" for a, b in zip(template, tokens)]
+                own.append(i)
+                break
+        else:
+            expected.append((list(tokens), [i]))
+    assert lines.templates([(t, set()) for t in mixed]) == expected and 300 < len(mixed)
