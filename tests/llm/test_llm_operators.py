@@ -377,3 +377,20 @@ def test_leaves_of_any_size_have_one_rule():
         else:
             expected.append((list(tokens), [i]))
     assert lines.templates([(t, set()) for t in mixed]) == expected and 300 < len(mixed)
+
+
+def test_near_texts_are_found_whatever_the_change(spark):
+    rng = random.Random(12)
+    vocabulary = words(rng, 3000).split()
+    rows = []
+    while len(rows) < 300:
+        own = rng.choices(vocabulary, k=rng.randint(60, 400))
+        n = len(own)
+        new = rng.choices(vocabulary, k=n)
+        change = [own + new[: n * 22 // 100], own[: -(n // 11)] + new[: n // 11], [new[i] if i % 45 == 7 else w for i, w in enumerate(own)]][len(rows) // 2 % 3]
+        x, y = (set(simhash.shingles(" ".join(t), 5)) for t in (own, change))
+        if 0.8 <= len(x & y) / len(x | y) < 0.84:
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(change))]
+    rows += [(1000, ""), (1001, "  ")]
+    kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == {*range(0, 300, 2), 1000}

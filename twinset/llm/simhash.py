@@ -5,12 +5,14 @@ least (bytes - r) bytes in place. Candidates come from posting lists over severa
 stays short; of each candidate pair the bytes shared in place are tallied, pairs below the guaranteed number go, and
 the rest is verified. Equal fingerprints are one entry, so copies never meet as pairs.
 
-linked_groups() is exact for 64-bit fingerprints and 2 bits. near_duplicates() is for similarity of word sets: wide
-fingerprints, a larger distance, and exact Jaccard similarity of the words' shingles at the end.
+linked_groups() is exact for 64-bit fingerprints and 2 bits. near_duplicates() is for similarity of word sets: posting
+lists of shingles that two similar texts are sure to share, wide fingerprints to pass over what only shares a passage,
+and exact Jaccard similarity of the words' shingles at the end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -206,41 +208,64 @@ def linked_groups(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
     return rows.join(of, rows["f0"] == of["fp"]).select("doc_id", "f0", "component_id")
 
 
-# Similarity of word sets: fingerprints of 256 bits from distinct shingles of three words. A changed word changes three of
-# these but five of those that decide, so that pairs at the threshold are nearer in fingerprint than in what decides.
+# Similarity of word sets. Of shingles in any one order, two sets with Jaccard similarity >= t share one at least among
+# the first n - ceil(t n) + 1 of each, n being its size: a text's posting lists are those of these shingles. The order has
+# shingles of many texts last, by how often a part of the texts has them, so that lists of common passages stay short;
+# that part decides on the length of lists only, not on what is found.
+#: Fingerprints are of distinct shingles of three words: a changed word changes three of these but five of those that decide.
 BITS = 256
 PRINT_WIDTH = 3
-#: Number of posting lists a fingerprint is in, each over three of its 32 bytes. Where changed words leave a share s of the
-#: shingles common, cosine is about s, a bit agrees with chance 1 - acos(s) / pi and three bytes with its 24th power. At
-#: Jaccard similarity 0.8 of five-word shingles s is 0.93 for three words and that chance 0.05: some nine lists in 192.
-LISTS = 192
-#: Bytes a pair must share in place, and bits in which it may differ: at similarity 0.8, over 99.9 % pass both.
-LEAST_BYTES = 4
-MOST_BITS = 56
-
-
-def _lists() -> list[tuple[int, int, int]]:
-    """LISTS triples of 32 places such that no two places meet in more triples than they must."""
-    rng = np.random.default_rng(5)
-    met, out = np.zeros((32, 32), dtype=int), []
-    for _ in range(LISTS):
-        tries = [tuple(sorted(rng.choice(32, 3, replace=False).tolist())) for _ in range(60)]
-        best = min(tries, key=lambda t: sum(met[a, b] for a, b in combinations(t, 2)))
-        for a, b in combinations(best, 2):
-            met[a, b] += 1
-        out.append(best)
-    return out
+#: Bits in which a pair may differ. Where a share s of the shingles of three words is common, some acos(s) / pi of the bits
+#: differ: 39 of 256 at five-word similarity 0.8 if a block is appended (s = 0.89), 128 in texts that have nothing in common.
+MOST_BITS = 96
+#: One in so many texts is counted for the order; shingles that so many of these have count as common, so many at most.
+COUNTED = 16
+COMMON = 4
+MOST_COMMON = 200_000
+
+
+def _distinct(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found = [np.unique(hashes(t, width)) for t in batch.slice(at, 256).column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["gram"])
+
+    return run
+
 
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles that many of docs (key, text) have, and how often they are met in one of COUNTED texts."""
+    part = docs.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0).dropDuplicates(["key"])
+    counts = part.select("text").mapInArrow(_distinct(width), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toPandas()
+    grams, n = top["gram"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(grams)
+    return grams[order], n[order]
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lists = np.array(_lists())
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            fp = np.stack([part.column(f"f{k}").to_numpy() for k in range(BITS // 64)], axis=1).astype(">i8").view(np.uint8).reshape(part.num_rows, -1)
-            three = fp[:, lists].astype(np.int64)  # rows x lists x 3
-            keys = (np.arange(len(lists)) << 24) | (three[..., 0] << 16) | (three[..., 1] << 8) | three[..., 2]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int32)), pa.array(np.repeat(part.column("node").to_numpy(), len(lists)))], names=["key", "node"])
+
+def prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """Of a set of shingles, those that lead to all sets of at least this similarity. The empty set has 0 alone."""
+    if not len(grams):
+        return np.zeros(1, dtype=np.uint64)
+    known, n = common
+    often = np.zeros(len(grams), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        often = np.where(known[at] == grams, n[at], 0)
+    return grams[np.lexsort((grams, often))[: len(grams) - math.ceil(threshold * len(grams) - 1e-9) + 1]]
+
+
+def _post(width: int, threshold: float, common: tuple[np.ndarray, np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [prefix(np.unique(hashes(t, width)), common, threshold) for t in part.column("text").to_pylist()]
+                node = np.repeat(part.column("node").to_numpy(), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node)], names=["key", "node"])
+
+    return run
 
 
 def _sets(width: int):
@@ -271,15 +296,14 @@ F4 = [f"f{k}" for k in range(BITS // 64)]
 
 
 def _alike(a: str, b: str) -> Column:
-    """Whether the fingerprints in two structs pass tally and distance."""
+    """Whether the fingerprints in two structs are near."""
     x, y = ([F.col(f"{at}.{c}") for c in F4] for at in (a, b))
-    return (differing_bits(x, y) <= MOST_BITS) & (shared_bytes(x, y) >= LEAST_BYTES)
+    return differing_bits(x, y) <= MOST_BITS
 
 
-def posting_lists(nodes: DataFrame) -> DataFrame:
-    """nodes: (node, f0..f3). (key, node, fp, hub): the posting lists of two nodes or more, whose hub is the node that is
+def posting_lists(postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """postings: (key, node); nodes: (node, f0..f3). (key, node, fp, hub): the posting lists of two nodes or more, whose hub is the node that is
     in the fullest lists altogether, which for copies of one text is the text that all of them resemble most."""
-    postings = nodes.mapInArrow(_post, "key int, node long")
     # most keys are of one node: a hash table of them would hold all and combine nothing, a sort spills
     crowded = stored(postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "postings")
     weight = crowded.groupBy("node").agg(F.sum("n").alias("w")).join(nodes, "node")
@@ -293,12 +317,12 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, of each list's hub with its other nodes, of those that pass tally and distance."""
+    """Pairs (u, v), u < v, of each list's hub with its other nodes, of those with near fingerprints."""
     return lists.where("node <> hub.node").where(_alike("fp", "hub.fp")).select(*_ordered("node", "hub.node")).distinct()
 
 
 def other_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of a list's nodes but the hub, in different groups (node, root), of those that pass tally and distance.
+    """Pairs of a list's nodes but the hub, in different groups (node, root), of those with near fingerprints.
 
     A pair within a group can connect nothing more. The nodes of a list's largest group meet only those of others, so
     that a list of copies, however long, gives no pairs.
@@ -328,14 +352,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     """docs: (key, text). Two tables: (key, node), a number for each different text; (node, root), the groups of
     texts that chains of Jaccard similarity >= threshold over `width`-word shingles connect, of nodes with a partner.
 
-    Every pair that shares a posting list and passes tally and distance is verified or already within one group: first
+    Every pair that shares a posting list and has near fingerprints is verified or already within one group: first
     each node with its lists' hubs, which grows with the nodes, then what is left between the groups so found.
     """
     texts = docs.select("key", "text")
     prints = fingerprints(texts, PRINT_WIDTH, BITS, distinct=True)
     numbered = stored(stored(prints, "wide").groupBy("key").agg(*[F.first(c).alias(c) for c in F4]).withColumn("node", F.monotonically_increasing_id()), "nodes")
     nodes = numbered.select("node", "key")
-    lists = stored(posting_lists(numbered.select("node", *F4)), "lists")
+    own = texts.join(if_small(nodes), "key").dropDuplicates(["node"]).select("node", "text")
+    postings = own.mapInArrow(_post(width, threshold, common_shingles(texts, width)), "key long, node long")
+    lists = stored(posting_lists(postings, numbered.select("node", *F4)), "lists")
     edges = verified(stored(hub_pairs(lists), "hubs"), texts, nodes, width, threshold)
     groups = components(edges)
     more = stored(other_pairs(lists, groups), "others")
