@@ -394,3 +394,12 @@ def test_near_texts_are_found_whatever_the_change(spark):
     rows += [(1000, ""), (1001, "  ")]
     kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert kept == {*range(0, 300, 2), 1000}
+
+
+def test_lines_recur_outside_near_copies(spark):
+    rng = random.Random(13)
+    license, shared = "This text stands under the usual license of our site", words(rng, 60) + "\n" + words(rng, 60)
+    rows = [(i, f"{words(rng, 4)}\n{license}") for i in range(12)]
+    rows += [(100 + i, f"{shared}\n{license}\n{words(rng, 1)}") for i in range(12)]
+    out = {r["doc_id"]: r["text"] for r in lines.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == text.replace(f"\n{license}", "") for i, text in rows)
