@@ -403,3 +403,10 @@ def test_lines_recur_outside_near_copies(spark):
     rows += [(100 + i, f"{shared}\n{license}\n{words(rng, 1)}") for i in range(12)]
     out = {r["doc_id"]: r["text"] for r in lines.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[i] == text.replace(f"\n{license}", "") for i, text in rows)
+
+
+def test_short_lines_recur_as_they_stand(spark):
+    rng = random.Random(14)
+    rows = [(i, f"{words(rng, 30)}\nRead more\n{words(rng, 9)}\nLes.\nPart {i}\n\n{words(rng, 5)}") for i in range(12)]
+    out = {r["doc_id"]: r["text"] for r in lines.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == text.replace("\nRead more", "").replace("\nLes.", "") for i, text in rows)
