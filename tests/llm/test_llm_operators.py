@@ -410,3 +410,9 @@ def test_short_lines_recur_as_they_stand(spark):
     rows = [(i, f"{words(rng, 30)}\nRead more\n{words(rng, 9)}\nLes.\nPart {i}\n\n{words(rng, 5)}") for i in range(12)]
     out = {r["doc_id"]: r["text"] for r in lines.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[i] == text.replace("\nRead more", "").replace("\nLes.", "") for i, text in rows)
+
+
+def test_scripts_end_at_their_own_end_tag():
+    page = """<body><article><p>One {n}</p><script>for(i=0;i<n;i++)a(i)</script><p>Two</p><script>s="<!--";if(i<e.length)b('"')</SCRIPT
+    ><style>a<b{{}}</style><svg/><p>Three <svg><path d='1'/></svg>{n}</p></article><script>x<y"</body>"""
+    assert texts_of([page.format(n=n) for n in range(4)]) == [f"One {n}\nTwo\nThree {n}" for n in range(4)]

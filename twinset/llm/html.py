@@ -34,6 +34,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template iframe textarea title svg math object audio video canvas select".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog button fieldset head".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
@@ -98,20 +99,31 @@ def _label(tag: str, attributes: str) -> tuple[str, int, bool]:
     return ".".join([tag, *names])[:80], mark, content
 
 
+def _tags(page: str) -> Iterator[tuple[re.Match, int]]:
+    """Tags and comments, and where text goes on after each: for an element of RAW, after its own end tag, whatever
+    stands in between."""
+    at = 0
+    while True:
+        for m in _TOKEN.finditer(page, at):
+            tag = (m[2] or m[5] or "").lower()
+            if tag in RAW and not (m[1] or m[4]) and not (tag in ("svg", "math") and (m[3] or m[6] or "").endswith("/")):
+                end = _RAW_END[tag].search(page, m.end())
+                at = end.end() if end else len(page)
+                yield m, at
+                break
+            yield m, m.end()
+        else:
+            return
+
+
 def tokens(page: str) -> Iterator[tuple]:
     """(OPEN, label, tag, boilerplate mark, content?, block?), (CLOSE, block?), (TEXT, text, in a link?), well nested."""
     stack: list[tuple[str, bool]] = []  # (tag, block?)
     links = at = 0
-    raw = None
-    for m in _TOKEN.finditer(page):
-        if raw and not (m[0][1:2] == "/" and (m[2] or m[5] or "").lower() == raw):
-            continue
-        if raw:
-            raw, at = None, m.end()
-            continue
+    for m, after in _tags(page):
         if m.start() > at:
             yield TEXT, entities.unescape(page[at : m.start()]), links > 0
-        at = m.end()
+        at = after
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -128,7 +140,6 @@ def tokens(page: str) -> Iterator[tuple]:
                         break
             continue
         if tag in RAW:
-            raw = None if attributes.endswith("/") and tag in ("svg", "math") else tag
             continue
         if tag in VOID:
             if tag == "hr":
@@ -153,7 +164,7 @@ def tokens(page: str) -> Iterator[tuple]:
             links = 0
         stack.append((tag, not inline))
         yield OPEN, label, tag, mark, content, not inline
-    if not raw and at < len(page):
+    if at < len(page):
         yield TEXT, entities.unescape(page[at:]), links > 0
     while stack:
         yield CLOSE, stack.pop()[1]
