@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,6 +67,26 @@ def text_key(text: Column | str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 256, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows and, but for single rows, bytes of a column."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > start and (i - start >= rows or held + n > most_bytes):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
+def per_worker(name: str, make: Callable[[], object]) -> object:
+    """What make() gives, made once in a Python process: functions travel by value, so their modules hold nothing there."""
+    held = sys.modules.setdefault("twinset_worker", types.ModuleType("twinset_worker"))
+    if not hasattr(held, name):
+        setattr(held, name, make())
+    return getattr(held, name)
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES, -1), lambda w: w != "")
 
@@ -85,8 +110,7 @@ def dense_slots(df: DataFrame, group: str, order: list[str], slot: str, partitio
     its own rows, and the rows that earlier tasks hold of the same group are added from a table of counts.
     df should be narrow and cheap to read twice: ranges are found by sampling it.
     """
-    part, local, base = (free_name(df, x) for x in ("_part", "_local", "_base"))
-    tie = free_name(df, "_tie")
+    part, local, base, tie, of, at = (free_name(df, x) for x in ("_part", "_local", "_base", "_tie", "_of", "_at"))
     keys = [group, *order, tie]
     tied = df.withColumn(tie, F.monotonically_increasing_id())
     ranged = tied.repartitionByRange(partitions, *keys) if partitions else tied.repartitionByRange(*keys)
@@ -94,21 +118,23 @@ def dense_slots(df: DataFrame, group: str, order: list[str], slot: str, partitio
     numbered = stored(
         ranged.withColumn(local, F.row_number().over(Window.partitionBy(part, group).orderBy(*order, tie)) - 1).drop(tie), "slots"
     )
-    counts = numbered.groupBy(group, part).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(F.col(group).alias("g"), F.col(part).alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(base))
-    joined = numbered.join(bases, numbered[group].eqNullSafe(bases["g"]) & (numbered[part] == bases["p"]))
-    return joined.withColumn(slot, (F.col(local) + F.col(base)).cast("long")).drop("g", "p", base, part, local)
+    counts = numbered.groupBy(F.col(group).alias(of), F.col(part).alias(at)).agg(F.count(F.lit(1)).alias(local))
+    earlier = Window.partitionBy(of).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(of, at, F.coalesce(F.sum(local).over(earlier), F.lit(0)).alias(base))
+    joined = numbered.join(bases, F.col(group).eqNullSafe(F.col(of)) & (F.col(part) == F.col(at)))
+    return joined.withColumn(slot, (F.col(local) + F.col(base)).cast("long")).drop(of, at, base, part, local)
 
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-#: Rows of a few bytes that may be broadcast: some tens of MB as a hash table.
+#: A table is broadcast up to so many rows and so many bytes of Parquet: some tens of MB as a hash table.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 12_000_000
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, a stored table of narrow rows, with a broadcast hint if it has at most so many rows; else Spark shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a stored table, with a broadcast hint if it has at most so many rows and bytes; else Spark shuffles."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most_bytes and df.limit(rows + 1).count() <= rows else df

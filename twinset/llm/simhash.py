@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, if_small, stored, text_key
+from .common import free_name, if_small, slices, stored, text_key
 from .graph import components
+from .hashing import gram_set, word_hashes
 
 SEED = 42
 #: In links(), a posting list of more fingerprints is not paired but split by further bytes.
@@ -68,15 +69,13 @@ def fingerprint(h: np.ndarray, bits: int = 64) -> bytes:
     return out
 
 
-def _fingerprints(width: int, bits: int, distinct: bool):
+def _fingerprints(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch):
                 cols: list[list[int]] = [[] for _ in range(bits // 64)]
                 for text in part.column("text").to_pylist():
-                    h = hashes(text, width)
-                    words = np.frombuffer(fingerprint(np.unique(h) if distinct else h, bits), dtype=">i8")
+                    words = np.frombuffer(fingerprint(hashes(text, width), bits), dtype=">i8")
                     for c, v in zip(cols, words.tolist()):
                         c.append(v)
                 kept = [i for i, n in enumerate(part.schema.names) if n != "text"]
@@ -85,10 +84,10 @@ def _fingerprints(width: int, bits: int, distinct: bool):
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64) -> DataFrame:
     """The columns of docs but text, and the fingerprint as longs f0, f1, ... of 64 bits each."""
     others = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    return docs.mapInArrow(_fingerprints(width, bits, distinct), others + "".join(f", f{k} long" for k in range(bits // 64)))
+    return docs.mapInArrow(_fingerprints(width, bits), others + "".join(f", f{k} long" for k in range(bits // 64)))
 
 
 def shared_bytes(a: list[Column], b: list[Column]) -> Column:
@@ -208,16 +207,24 @@ def linked_groups(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
     return rows.join(of, rows["f0"] == of["fp"]).select("doc_id", "f0", "component_id")
 
 
-# Similarity of word sets. Of shingles in any one order, two sets with Jaccard similarity >= t share one at least among
-# the first n - ceil(t n) + 1 of each, n being its size: a text's posting lists are those of these shingles. The order has
-# shingles of many texts last, by how often a part of the texts has them, so that lists of common passages stay short;
-# that part decides on the length of lists only, not on what is found.
+# Similarity of word sets. First, copies: posting lists of neighbouring bytes of wide fingerprints, where each text meets
+# the least text of its lists. Groups of copies, however large, so become one entry in what follows. Then, the rest: of
+# shingles in any one order, two sets with Jaccard similarity >= t share one at least among the first n - ceil(t n) + 1 of
+# each, n being its size: a text's posting lists are those of these shingles. The order has shingles of many texts last, by
+# how often a part of the texts has them, so that lists of common passages stay short; that part decides on the length of
+# lists only, not on what is found. Before two sets are laid side by side, two counts must allow it: their fingerprints'
+# differing bits, and the places in which the parities of the sets differ, which are never more than what only one of the
+# sets has.
 #: Fingerprints are of distinct shingles of three words: a changed word changes three of these but five of those that decide.
 BITS = 256
 PRINT_WIDTH = 3
 #: Bits in which a pair may differ. Where a share s of the shingles of three words is common, some acos(s) / pi of the bits
 #: differ: 39 of 256 at five-word similarity 0.8 if a block is appended (s = 0.89), 128 in texts that have nothing in common.
 MOST_BITS = 96
+#: In lists of shingles, the first 64 bits of the fingerprints alone are compared, by a bound as generous.
+MOST_FIRST_BITS = 24
+#: Bits of a set's parities: bit i is the parity of the number of its shingles whose hash ends in i.
+PARITIES = 256
 #: One in so many texts is counted for the order; shingles that so many of these have count as common, so many at most.
 COUNTED = 16
 COMMON = 4
@@ -227,8 +234,8 @@ MOST_COMMON = 200_000
 def _distinct(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                found = [np.unique(hashes(t, width)) for t in batch.slice(at, 256).column("text").to_pylist()]
+            for part in slices(batch):
+                found = [gram_set(word_hashes(t, True), width) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["gram"])
 
     return run
@@ -257,24 +264,38 @@ def prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold:
 
 
 def _post(width: int, threshold: float, common: tuple[np.ndarray, np.ndarray]):
+    """(key, node, root, several): the posting lists of each text, of equal texts once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [prefix(np.unique(hashes(t, width)), common, threshold) for t in part.column("text").to_pylist()]
-                node = np.repeat(part.column("node").to_numpy(), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node)], names=["key", "node"])
+            for part in slices(batch):
+                cols = [part.column(c).to_pylist() for c in ("node", "root", "several")]
+                new = []
+                for i, (node, several) in enumerate(zip(cols[0], cols[2])):
+                    if node not in seen:
+                        new.append(i)
+                        if several:
+                            seen.add(node)
+                if new:
+                    texts = part.column("text")
+                    found = [prefix(gram_set(word_hashes(texts[i].as_py(), True), width), common, threshold) for i in new]
+                    sizes = [len(f) for f in found]
+                    rows = [np.repeat(np.array([c[i] for i in new]), sizes) for c in cols]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *map(pa.array, rows)], names=["key", "node", "root", "several"])
 
     return run
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [np.unique(hashes(t, width)).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], names=["node", "grams"])
+            for part in slices(batch):
+                nodes, texts = part.column("node").to_pylist(), part.column("text")
+                new = [i for i, n in enumerate(nodes) if n not in seen and not seen.add(n)]
+                found = [gram_set(word_hashes(texts[i].as_py(), True), width).tobytes() for i in new]
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in new], pa.int64()), pa.array(found, pa.binary())], names=["node", "grams"])
 
     return run
 
@@ -293,102 +314,206 @@ def _jaccard(threshold: float):
 
 
 F4 = [f"f{k}" for k in range(BITS // 64)]
+P4 = [f"p{k}" for k in range(PARITIES // 64)]
+
+
+def parities(grams: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((grams % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
 
+def _apart(a: str, b: str, threshold: float) -> Column:
+    """Whether the parities in two structs allow that similarity: J >= t just if (1 + t) * |x ^ y| <= (1 - t) * (|x| + |y|)."""
+    p, q = ([F.col(f"{at}.{c}") for c in P4] for at in (a, b))
+    return F.lit(1 + threshold) * differing_bits(p, q) <= F.lit(1 - threshold) * (F.col(f"{a}.n") + F.col(f"{b}.n")) + 1e-6
 
-def _alike(a: str, b: str) -> Column:
-    """Whether the fingerprints in two structs are near."""
+
+def _alike(a: str, b: str, threshold: float) -> Column:
     x, y = ([F.col(f"{at}.{c}") for c in F4] for at in (a, b))
-    return differing_bits(x, y) <= MOST_BITS
+    return (differing_bits(x, y) <= MOST_BITS) & _apart(a, b, threshold)
+
+
+#: What lists of shingles hold of a sketch.
+BRIEF = ["f0", *P4, "n"]
+
 
+def _brief(at: str) -> Column:
+    return F.struct(*[F.col(f"{at}.{c}").alias(c) for c in BRIEF])
 
-def posting_lists(postings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """postings: (key, node); nodes: (node, f0..f3). (key, node, fp, hub): the posting lists of two nodes or more, whose hub is the node that is
-    in the fullest lists altogether, which for copies of one text is the text that all of them resemble most."""
-    # most keys are of one node: a hash table of them would hold all and combine nothing, a sort spills
-    crowded = stored(postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "postings")
-    weight = crowded.groupBy("node").agg(F.sum("n").alias("w")).join(nodes, "node")
-    weighed = stored(crowded.join(weight, "node").select("key", "node", "w", F.struct(*F4).alias("fp")), "weighed")
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("node"), "fp")).alias("top"))
-    return weighed.join(hubs, "key").select("key", "node", "fp", F.struct((-F.col("top.node")).alias("node"), F.col("top.fp").alias("fp")).alias("hub"))
+
+def _briefly_alike(a: str, b: str, threshold: float) -> Column:
+    return (differing_bits([F.col(f"{a}.f0")], [F.col(f"{b}.f0")]) <= MOST_FIRST_BITS) & _apart(a, b, threshold)
 
 
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def hub_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, of each list's hub with its other nodes, of those with near fingerprints."""
-    return lists.where("node <> hub.node").where(_alike("fp", "hub.fp")).select(*_ordered("node", "hub.node")).distinct()
+SKETCH = [*F4, *P4, "n"]
+
 
+def _sketches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for text in part.column("text").to_pylist():
+                    words = word_hashes(text, True)
+                    grams = gram_set(words, width)
+                    rows.append(fingerprint(gram_set(words, PRINT_WIDTH), BITS) + parities(grams) + len(grams).to_bytes(8, "big"))
+                longs = np.frombuffer(b"".join(rows), dtype=">i8").reshape(len(rows), -1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c) for c in longs.T)], names=["key", *SKETCH])
 
-def other_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of a list's nodes but the hub, in different groups (node, root), of those with near fingerprints.
+    return run
 
-    A pair within a group can connect nothing more. The nodes of a list's largest group meet only those of others, so
-    that a list of copies, however long, gives no pairs.
-    """
-    rest = lists.where("node <> hub.node").select("key", "node", "fp").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = stored(rest, "rest")
-    per = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
-    mixed = rest.join(mixed.select("key", F.col("top.root").alias("most")), "key")
-    a = mixed.where("root <> most").select("key", F.struct("node", "root", "fp").alias("a"))
-    b = mixed.select("key", F.struct("node", "root", "fp", "most").alias("b"))
-    met = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.most")) | (F.col("a.node") < F.col("b.node")))
-    on = (F.col("ka") == F.col("kb")) & met & _alike("a.fp", "b.fp")
-    return a.withColumnRenamed("key", "ka").join(b.withColumnRenamed("key", "kb"), on).select(*_ordered("a.node", "b.node")).distinct()
+
+def numbered(docs: DataFrame, width: int) -> DataFrame:
+    """docs: (key, text). (node, key, times, fp): each different text with a number, its rows, and a struct of its
+    fingerprint f0.., the parities p0.. of its set of `width`-word shingles, and the size n of that."""
+    prints = stored(docs.select("key", "text").mapInArrow(_sketches(width), "key binary, " + ", ".join(f"{c} long" for c in SKETCH)), "wide")
+    each = prints.groupBy("key").agg(*[F.first(c).alias(c) for c in SKETCH], F.count(F.lit(1)).alias("times"))
+    return stored(each.select(F.monotonically_increasing_id().alias("node"), "key", "times", F.struct(*SKETCH).alias("fp")), "nodes")
+
+
+def byte_lists(nodes: int) -> list[tuple[int, int, int]]:
+    """(long, first byte, bytes): the runs of neighbouring bytes that are posting lists, so wide that few of so many
+    unrelated texts agree in one."""
+    width = next(w for w in range(2, 8) if 256**w >= 8 * nodes)
+    return [(k, at, width) for k in range(BITS // 64) for at in sorted({round(i * (8 - width) / 3) for i in range(4)})]
+
+
+def hub_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """nodes: (node, fp). (u, v): each node v and, if it is another, the least u among the first nodes of v's lists of
+    bytes whose sketches allow the threshold. Most copies of a text so lead to one and the same."""
+    lists = byte_lists(nodes.count())
+    keys = [F.struct(F.lit(i).alias("list"), F.shiftrightunsigned(f"fp.f{k}", 8 * at).bitwiseAND(F.lit(256**w - 1)).alias("key")) for i, (k, at, w) in enumerate(lists)]
+    postings = nodes.select("node", F.explode(F.array(*keys)).alias("p")).select("p.list", "p.key", "node")
+    first = postings.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("u")).where("n > 1").drop("n")
+    met = stored(postings.join(first, ["list", "key"]).where("u < node").select("u", F.col("node").alias("v")).distinct(), "met")
+    x, y = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}")) for c in "uv")
+    return met.join(x, "u").join(y, "v").where(_alike("fp_u", "fp_v", threshold)).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+
+
+def copy_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs: (key, text). (key, root): texts by groups whose sketches allow the threshold, found by lists of bytes alone
+    and not verified. It misses some near texts; near_duplicates() is for all of them."""
+    nodes = numbered(docs, width)
+    groups = components(stored(hub_links(nodes, threshold), "hubs"))
+    return nodes.join(groups, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, threshold: float) -> DataFrame:
     """The pairs of nodes (node, key) whose texts in docs (key, text) have Jaccard similarity >= threshold."""
-    ends = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node"), "ends")
-    texts = docs.join(if_small(ends), "key").select("node", "text")
+    ends = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "key"), "node"), "ends")
+    texts = docs.select("key", "text").join(if_small(ends), "key").select("node", "text")
     sets = stored(texts.mapInArrow(_sets(width), "node long, grams binary").dropDuplicates(["node"]), "grams")
     x, y = (sets.select(F.col("node").alias(at), F.col("grams").alias(g)) for at, g in (("u", "x"), ("v", "y")))
     return stored(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_jaccard(threshold), "u long, v long"), "verified")
 
 
+def crowded(postings: DataFrame) -> DataFrame:
+    """The rows of (key, ...) whose key has another row. A hash table of keys would hold nearly all and combine nothing,
+    a sort spills."""
+    return postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
+
+
+def first_pairs(entries: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+    """entries: (key, root, node), one row for each group in a list. Pairs (u, v) of each list's first group with its
+    others, of those whose sketches allow the threshold."""
+    first = entries.groupBy("key").agg(F.min(F.struct("root", "node")).alias("first")).select("key", F.col("first.root").alias("root"), F.col("first.node").alias("node"))
+    heads = first.join(prints, "node").select("key", F.col("root").alias("first"), F.col("node").alias("head"), F.col("fp").alias("head_fp"))
+    met = entries.join(prints, "node").join(heads, "key").where((F.col("root") != F.col("first")) & _briefly_alike("fp", "head_fp", threshold))
+    return met.select(*_ordered("node", "head")).distinct()
+
+
+def other_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """members: (key, root, node, fp). Pairs (u, v) of a list's nodes in different groups, of those whose sketches allow it.
+    The nodes of a list's largest group meet only those of others, so that a list of copies, however long, gives no pairs."""
+    per = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top")).select("key", F.col("top.root").alias("most"))
+    marked = members.join(most, "key")
+    a = marked.where("root <> most").select(F.col("key").alias("ka"), F.struct("node", "root", "fp").alias("a"))
+    b = marked.select(F.col("key").alias("kb"), F.struct("node", "root", "fp", "most").alias("b"))
+    met = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.most")) | (F.col("a.node") < F.col("b.node")))
+    return a.join(b, (F.col("ka") == F.col("kb")) & met & _briefly_alike("a.fp", "b.fp", threshold)).select(*_ordered("a.node", "b.node")).distinct()
+
+
+def _rooted(rows: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """rows with root as it is in groups (node, root) for the node in column `by`; a node of no group is its own root."""
+    now = groups.select(F.col("node").alias("_of"), F.col("root").alias("_now"))
+    return rows.join(now, rows[by] == now["_of"], "left").withColumn("root", F.coalesce("_now", by)).drop("_of", "_now")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """docs: (key, text). Two tables: (key, node), a number for each different text; (node, root), the groups of
     texts that chains of Jaccard similarity >= threshold over `width`-word shingles connect, of nodes with a partner.
 
-    Every pair that shares a posting list and has near fingerprints is verified or already within one group: first
-    each node with its lists' hubs, which grows with the nodes, then what is left between the groups so found.
+    Every pair that shares a posting list and whose sketches allow it is verified or already within one group: copies by
+    lists of bytes; then, in lists of shingles, each group with the list's first until that links no more; then what is
+    left between groups, each node with each.
     """
     texts = docs.select("key", "text")
-    prints = fingerprints(texts, PRINT_WIDTH, BITS, distinct=True)
-    numbered = stored(stored(prints, "wide").groupBy("key").agg(*[F.first(c).alias(c) for c in F4]).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    nodes = numbered.select("node", "key")
-    own = texts.join(if_small(nodes), "key").dropDuplicates(["node"]).select("node", "text")
-    postings = own.mapInArrow(_post(width, threshold, common_shingles(texts, width)), "key long, node long")
-    lists = stored(posting_lists(postings, numbered.select("node", *F4)), "lists")
-    edges = verified(stored(hub_pairs(lists), "hubs"), texts, nodes, width, threshold)
+    nodes = numbered(texts, width)
+    prints = nodes.select("node", _brief("fp").alias("fp"))
+    edges = verified(stored(hub_links(nodes, threshold), "hubs"), texts, nodes, width, threshold)
     groups = components(edges)
-    more = stored(other_pairs(lists, groups), "others")
+    sizes = _rooted(nodes.select("key", "node", "times"), groups, "node")
+    shared = groups.select("node").distinct().withColumn("linked", F.lit(True))
+    labelled = sizes.join(shared, "node", "left").select("key", "node", "root", ((F.col("times") > 1) | F.coalesce("linked", F.lit(False))).alias("several"))
+    own = texts.join(if_small(stored(labelled, "labelled")), "key").select("node", "root", "several", "text")
+    posted = stored(own.mapInArrow(_post(width, threshold, common_shingles(texts, width)), "key long, node long, root long, several boolean"), "postings")
+    # a text that is no copy has one row for each of its lists; rows of copies become one for each group and list
+    alone = posted.where("not several").select("key", "root", "node")
+    together = posted.where("several").groupBy("key", "root").agg(F.min("node").alias("node"))
+    entries = stored(crowded(alone.unionByName(together)), "entries")
+    tried = None
+    while True:
+        pairs = first_pairs(entries, prints, threshold)
+        pairs = stored(pairs.join(tried, ["u", "v"], "left_anti") if tried is not None else pairs, "firsts")
+        if pairs.isEmpty():
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = verified(pairs, texts, nodes, width, threshold)
+        if links.isEmpty():
+            break
+        edges = edges.unionByName(links)
+        groups = components(edges)
+        moved = _rooted(entries.select("key", "node", F.col("root").alias("was")), groups, "was")
+        entries = stored(crowded(moved.groupBy("key", "root").agg(F.min("node").alias("node"))), "entries")
+    left = stored(entries.select("key").distinct(), "left")
+    if left.isEmpty():
+        return nodes.select("node", "key"), groups
+    members = posted.join(if_small(left), "key").select("key", "node").distinct()
+    members = stored(_rooted(members, groups, "node").join(prints, "node"), "members")
+    more = other_pairs(members, threshold)
+    more = stored(more.join(tried, ["u", "v"], "left_anti") if tried is not None else more, "others")
     if more.isEmpty():
-        return nodes, groups
-    return nodes, components(edges.unionByName(verified(more, texts, nodes, width, threshold)))
+        return nodes.select("node", "key"), groups
+    return nodes.select("node", "key"), components(edges.unionByName(verified(more, texts, nodes, width, threshold)))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group that with the smallest doc_id (null last).
 
-    Texts without words are one group. Equal rows count as copies: one stays. An empty table stays empty.
+    Texts without words are one group. Equal rows count as copies: one stays. An empty table stays empty. Other columns
+    may have any names.
     """
-    key, row, root = (free_name(docs, c) for c in ("_key", "_row", "_root"))
+    key, row, root, of, id_of, times = (free_name(docs, c) for c in ("_key", "_row", "_root", "_of", "_id", "_times"))
     keyed = docs.withColumn(key, text_key("text"))
     nodes, groups = near_duplicates(keyed.select(F.col(key).alias("key"), "text"), width, threshold)
-    known = nodes.join(groups, "node", "left").select(F.col("key").alias("of"), F.coalesce("root", "node").alias(root))
-    ids = keyed.select("doc_id", key).groupBy("doc_id", key).agg(F.count(F.lit(1)).alias("times"))
-    ranked = ids.join(known, F.col(key) == F.col("of"))
-    first = stored(ranked.groupBy(root).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col(key).alias("key"), "times")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.key").alias("_k"), F.col("w.times").alias("_n")), "winners")
-    out = keyed.join(if_small(first), (F.col(key) == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    if first.where("_n > 1").isEmpty():
+    known = nodes.join(groups, "node", "left").select(F.col("key").alias(of), F.coalesce("root", "node").alias(root))
+    ids = keyed.groupBy("doc_id", key).agg(F.count(F.lit(1)).alias("times"))
+    ranked = ids.join(known, F.col(key) == F.col(of))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col(key).alias("key"), "times")).alias("w")
+    first = stored(ranked.groupBy(root).agg(least).select(F.col("w.doc_id").alias(id_of), F.col("w.key").alias(of), F.col("w.times").alias(times)), "winners")
+    out = keyed.join(if_small(first), (F.col(key) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(id_of)))
+    if first.where(F.col(times) > 1).isEmpty():
         return out.select(*docs.columns)
-    again = out.where("_n > 1").withColumn(row, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.lit(0)))).where(F.col(row) == 1)
-    return out.where("_n = 1").select(*docs.columns).unionByName(again.select(*docs.columns))
+    again = out.where(F.col(times) > 1).withColumn(row, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.lit(0)))).where(F.col(row) == 1)
+    return out.where(F.col(times) == 1).select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of all documents; nulls, empty texts, ties, repeated rows and an empty table as
+    in linked_groups()."""
     out = linked_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 2)
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
