@@ -2,8 +2,8 @@
 
 Lengths are whole numbers up to the capacity, so all items of a length are alike and a packing is a list of patterns:
 how many items of each length a bin holds, and how many bins are so filled. The driver holds only the number of items
-per length, at most `capacity` numbers, and the patterns, at most some three per length plus one per exchange; neither
-grows with the rows. Best fit goes from the longest items to the shortest. The local search then exchanges items
+per length, at most `capacity` numbers, and the patterns, at most some three per length and two per exchange; neither
+follows the rows, since an exchange serves all bins of two patterns. Best fit goes from the longest items to the shortest. The local search then exchanges items
 between two patterns (move one, one for one, two for one) in as many bin pairs as both patterns have, whenever that
 increases the sum of squared fills; bins that it empties are gone. Rows learn their bin from the number they have
 among the items of their length.
@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import per_worker, slices, stored
 
 Pattern = tuple[tuple[int, int], ...]  # (length, items of it), longest first
 
-#: Exchanges that the local search makes at most, so that patterns stay few. Each serves all bins of two patterns.
-MOST_EXCHANGES = 4000
-
 
 def best_fit(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
     """Best fit decreasing over lengths. counts: items per length, 1 to capacity.
@@ -84,16 +82,15 @@ def _without(pattern: Pattern, gone: tuple[int, ...], come: tuple[int, ...]) ->
     return tuple(sorted(((k, v) for k, v in held.items() if v), reverse=True))
 
 
-def local_search(packing: Counter[Pattern], capacity: int, most: int = MOST_EXCHANGES) -> Counter[Pattern]:
+def local_search(packing: Counter[Pattern], capacity: int) -> Counter[Pattern]:
     """Exchanges between underfull bins. From the emptier bin a to the fuller bin b go one item, or one or two items
     against one; an exchange is made if b still fits and b's fill plus what it gains exceeds a's fill, which is when the
-    sum of squared fills grows. It ends when no pair has such an exchange, or after `most` of them.
+    sum of squared fills grows. It ends when no pair has such an exchange, which growing sums make sure of.
     """
     fill = lambda p: sum(k * v for k, v in p)
     packing = Counter({tuple(sorted(p, reverse=True)): n for p, n in packing.items() if n})
-    done = 0
     settled: set[tuple[Pattern, Pattern]] = set()
-    while done < most:
+    while True:
         under = sorted((p for p in packing if fill(p) < capacity), key=lambda p: (fill(p), p))
         found = None
         for a in under:
@@ -116,8 +113,6 @@ def local_search(packing: Counter[Pattern], capacity: int, most: int = MOST_EXCH
         for new in (_without(a, gone, come), _without(b, come, gone)):
             if new:
                 packing[new] += times
-        done += 1
-    return packing
 
 
 def _exchange(a: Pattern, b: Pattern, room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
@@ -163,15 +158,22 @@ def places(packing: Counter[Pattern]) -> list[tuple[int, int, int, int, int, int
 
 
 class _Chunks(dict):
-    """The ids, as little-endian bytes, of a blank and a chunk without blanks; the least that is known again and again."""
+    """The ids, as little-endian bytes, of a blank and a chunk without blanks. It keeps up to `most` chunks of at most
+    LONGEST characters: when half of them are there, what was not asked for since the last time goes."""
 
     def __init__(self, encode, most: int):
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.old = encode, most // 2, {}
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > LONGEST:
+            return _as_bytes(self.encode(" " + chunk))
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self[chunk] = _as_bytes(self.encode(" " + chunk))
+        out = self.old.pop(chunk, None)
+        if out is None:
+            out = _as_bytes(self.encode(" " + chunk))
+        self[chunk] = out
         return out
 
 
@@ -208,23 +210,30 @@ def byte_level(path: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encoder(path: str, chunks: int = 800_000):
+#: Chunks that a worker keeps, some 200 bytes each, and characters of the longest that it keeps.
+CHUNKS = 200_000
+LONGEST = 64
+
+
+def _slowly(model, text: str) -> bytes:
+    return _as_bytes(model.encode(text, add_special_tokens=False).ids)
+
+
+def encoder(path: str, chunks: int = CHUNKS):
     """text -> its ids as little-endian bytes, those that the tokenizers file gives without special tokens.
 
     Where no white space stands beside a blank, a token never reaches over the place before a blank; so chunks between
-    blanks have ids of their own, which are kept for up to `chunks` chunks. Other texts are encoded whole.
+    blanks have ids of their own, of which some are kept. Other texts are encoded whole.
     """
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
-    slow = lambda text: model.encode(text, add_special_tokens=False).ids
     fast = byte_level(path)
-    if not fast:
-        return lambda text: _as_bytes(slow(text))
-    for probe in ("It's  a\tprobe,\n\nÀé 12345 <|endoftext|> \u4e2d\U0001f600x ", "don't stop!! 'll\u00a0we"):
-        if fast.encode_ordinary(probe) != slow(probe):
-            return lambda text: _as_bytes(slow(text))
+    probes = ("It's  a\tprobe,\n\nÀé 12345 <|endoftext|> \u4e2d\U0001f600x ", "don't stop!! 'll\u00a0we")
+    if not fast or any(fast.encode_ordinary(p) != model.encode(p, add_special_tokens=False).ids for p in probes):
+        return partial(_slowly, model)
+    del model  # only its rank table is needed from here on
     known = _Chunks(fast.encode_ordinary, chunks)
     white = [c for c in map(chr, range(sys.maxunicode)) if c.isspace()]
 
@@ -239,14 +248,13 @@ def encoder(path: str, chunks: int = 800_000):
 
 def _pieces(tokenizer: str, capacity: int, end: int, ids_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(tokenizer), _as_bytes([end])
+        encode, last = per_worker("encoder " + tokenizer, lambda: encoder(tokenizer)), _as_bytes([end])
         task = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(docs), 512):
+            for part in slices(batch):
                 cols: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", *["ids"] * ids_too)}
-                for doc, text in zip(docs[at : at + 512], texts.slice(at, 512).to_pylist()):
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     ids = encode(text or "") + last
                     n = len(ids) // 4
                     head = n if n <= capacity else n % capacity or capacity
@@ -313,4 +321,6 @@ def default_tokenizer() -> str:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens; nulls, empty and long texts, ties, repeated rows, other
+    columns and an empty table as in pack_documents()."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer(), 1024, 2)
