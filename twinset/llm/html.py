@@ -5,8 +5,9 @@ after another into a wrapper, a regular expression without unions: tags that sta
 repeated groups; where two streams do not agree, what only one has becomes optional; texts that differ become slots.
 Wrappers are mergeable: each task aligns the pages that it sees, and the tasks' wrappers of a host are aligned in turn,
 so that a host with a third of all pages is no single task's work. A wrapper's slots and fixed texts, with the share of
-links in each, decide what of the host's pages is main text: the outermost articles, else the main element, else an
-element named as content, else the body without fixed texts and lists of links. Menus, headers, footers, sidebars,
+links in each, decide what of the host's pages is main text: the outermost articles; else the main element or an element
+named as content; else the smallest element around nearly all text in slots; else the body; but for articles without
+fixed texts and lists of links. Menus, headers, footers, sidebars,
 notices, adverts, forms, comments and the like are no main text. Tags and roles tell them anywhere. Of class names and
 ids, inside a root only those tell them that say nothing else ("comments-area", not "side-effects"); outside one, a part
 is enough ("post-header"), but an element so marked may still hold the root. The page, its body, main and articles are
@@ -18,16 +19,19 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import if_small, stored
+from .common import if_small, slices, stored
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_OPEN_END = re.compile(r"<!--|<!\[CDATA\[")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -59,7 +63,9 @@ PART_OF_NAME, NAME, CLEAR = 1, 2, 3
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Deeper tags count to the last one within.
-DEPTH = 40
+DEPTH = 200
+#: Longer labels are cut and get a hash of the whole.
+LABEL = 80
 FIXED_PAGES = 3
 OPEN, CLOSE, TEXT = 0, 1, 2
 
@@ -96,16 +102,23 @@ def _label(tag: str, attributes: str) -> tuple[str, int, bool]:
                 names.append(re.sub(r"\d+", "#", value))
     if whole and mark == PART_OF_NAME:
         mark = 0
-    return ".".join([tag, *names])[:80], mark, content
+    label = ".".join([tag, *names])
+    return label if len(label) <= LABEL else f"{label[:LABEL]}#{_text_hash(label)}", mark, content
 
 
 def _tags(page: str) -> Iterator[tuple[re.Match, int]]:
     """Tags and comments, and where text goes on after each: for an element of RAW, after its own end tag, whatever
-    stands in between."""
-    at = 0
+    stands in between; for a comment without an end, at the page's end."""
+    at, last = 0, page.rfind(">") + 1
+    for m in _OPEN_END.finditer(page, last):  # what starts after the last > and ends nowhere
+        last = len(page)
+        break
     while True:
-        for m in _TOKEN.finditer(page, at):
+        for m in _TOKEN.finditer(page, at, last):
             tag = (m[2] or m[5] or "").lower()
+            if not tag and m.end() == last and _OPEN_END.match(m[0]) and not m[0].endswith(("-->", "]]>")):
+                yield m, len(page)
+                return
             if tag in RAW and not (m[1] or m[4]) and not (tag in ("svg", "math") and (m[3] or m[6] or "").endswith("/")):
                 end = _RAW_END[tag].search(page, m.end())
                 at = end.end() if end else len(page)
@@ -252,28 +265,68 @@ def merge(a: list, b: list, same_page: bool = False) -> None:
         for p, q in zip(x, y):
             merge(p, q, same_page)
         return
-    n, m = len(x), len(y)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and x[i][0] == y[j][0]:
-            merge(x[i], y[j], same_page)
-            out.append(x[i])
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            x[i][1] = True
-            out.append(x[i])
-            i += 1
-        else:
-            y[j][1] = True
-            out.append(y[j])
-            j += 1
+    for p, q in [*common_row([c[0] for c in x], [c[0] for c in y]), (len(x), len(y))]:
+        for only in (*x[i:p], *y[j:q]):
+            only[1] = True
+            out.append(only)
+        if p < len(x):
+            merge(x[p], y[q], same_page)
+            out.append(x[p])
+        i, j = p + 1, q + 1
     a[8] = fold(out)
 
 
+#: Cells of the table of a longest common row; beyond it, equal labels are paired by their turn.
+TABLE = 250_000
+
+
+def common_row(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places (i, j), both ascending, where x[i] == y[j]: as many as there can be, or, where a table of len(x) times
+    len(y) is too large, as many as there can be of the pairs of a label's k-th places in x and in y."""
+    start = 0
+    while start < min(len(x), len(y)) and x[start] == y[start]:
+        start += 1
+    end = 0
+    while end < min(len(x), len(y)) - start and x[-1 - end] == y[-1 - end]:
+        end += 1
+    a, b = x[start : len(x) - end], y[start : len(y) - end]
+    n, m = len(a), len(b)
+    inner: list[tuple[int, int]] = []
+    if n * m <= TABLE:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < n and j < m:
+            if a[i] == b[j]:
+                inner.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    else:
+        places: dict[str, list[int]] = {}
+        for j in range(m - 1, -1, -1):
+            places.setdefault(b[j], []).append(j)
+        pairs = [(i, places[label].pop()) for i, label in enumerate(a) if places.get(label)]
+        ends: list[int] = []  # the least last j of an ascending row of each length
+        rows: list[int] = []
+        before = [-1] * len(pairs)
+        for k, (_, j) in enumerate(pairs):
+            at = bisect_left(ends, j)
+            before[k] = rows[at - 1] if at else -1
+            ends[at : at + 1], rows[at : at + 1] = [j], [k]
+        k = rows[-1] if rows else -1
+        while k >= 0:
+            inner.append(pairs[k])
+            k = before[k]
+        inner.reverse()
+    return [*((i, i) for i in range(start)), *((start + i, start + j) for i, j in inner), *((len(x) - end + k, len(y) - end + k) for k in range(end))]
+
+
 def expression(wrapper: list) -> str:
     """The wrapper as a regular expression over tags, #text, and #fixed for texts that all pages have."""
     inner = ("" if not wrapper[4] else "#fixed" if wrapper[6] and not wrapper[2] else "#text") + "".join(expression(c) for c in wrapper[8])
@@ -281,12 +334,47 @@ def expression(wrapper: list) -> str:
     return f"({body})" + ("*" if wrapper[1] and wrapper[2] else "?" if wrapper[1] else "+") if wrapper[1] or wrapper[2] else body
 
 
+#: Elements whose text the wrapper does not call fixed within a root: they name or list what is around them.
+NAMING = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption pre".split())
+#: Elements that a search for the root does not go into.
+LEAVES = NAMING | frozenset("p blockquote ul ol dl table figure".split())
+#: Share of the text in slots that a root must hold of that around it.
+MOST = 0.8
+
+
+def _slots(node: list) -> int:
+    """Characters of a wrapper's part that stand in slots, outside links, and not in what is marked as boilerplate."""
+    if node[7] in ("x", "y"):
+        return 0
+    own = 0 if node[6] and not node[2] else node[4] - node[5]
+    return own + sum(_slots(c) for c in node[8])
+
+
+def _has_text(node: list) -> bool:
+    """Whether a wrapper's part has a heading or a paragraph with text in a slot."""
+    return node[7] not in ("x", "y") and (node[0].split(".")[0] in HEADINGS | {"p"} and _slots(node) > 0 or any(map(_has_text, node[8])))
+
+
+def slot_root(wrapper: list) -> str:
+    """The path of the smallest element around nearly all text in slots, "" for the page: from the page inwards while
+    one element holds MOST of it and nothing beside that has a heading or a paragraph with text in slots."""
+    node, path = wrapper, ""
+    while node[8]:
+        best = max(node[8], key=_slots)
+        beside = [c for c in node[8] if c is not best]
+        if best[2] or best[0].split(".")[0] in LEAVES or _slots(best) < MOST * _slots(node) or not _slots(best) or any(map(_has_text, beside)):
+            break
+        node, path = best, f"{path}>{best[0]}"
+    return path
+
+
 def rule_of(wrapper: list) -> dict:
     """What of a host's pages is main text. Paths are rows of labels.
 
-    roots: groups of paths, the first group that a page has holds its main text; those under a mark by part of a name,
-    unless repeated, are the last groups. fixed, links: paths of texts that are
-    the same on FIXED_PAGES pages or more, and of those mostly links; they count where the body is the root.
+    roots: pairs of a kind and paths; the first of which a page has some holds its main text. Those under a mark by part
+    of a name, unless repeated, come last of those told by tags and names, and after them, as kind "slot", the element
+    that the wrapper's slots tell. fixed, links: paths of texts that are the same on FIXED_PAGES pages or more, and of
+    those mostly links; they are left out but in articles.
     """
     groups: dict[str, list[str]] = {k: [] for k in ("a", "main", "m", "wa", "wmain", "wm")}
     fixed, links = {}, []
@@ -308,7 +396,8 @@ def rule_of(wrapper: list) -> dict:
         if node[4] and 2 * node[5] > node[4] and node[0] not in ("p", "h1", "h2", "h3"):
             links.append(path)
         todo += [(c, f"{path}>{c[0]}", under, inside or kind == "a") for c in node[8]]
-    return {"roots": [sorted(set(g)) for g in groups.values() if g], "fixed": fixed, "links": sorted(set(links))}
+    groups["slot"] = [p for p in [slot_root(wrapper)] if p and wrapper[3] >= FIXED_PAGES]
+    return {"roots": [[k, sorted(set(g))] for k, g in groups.items() if g], "fixed": fixed, "links": sorted(set(links))}
 
 
 def main_text(page: str | None, rule: dict) -> str:
@@ -323,24 +412,36 @@ def main_text(page: str | None, rule: dict) -> str:
             present.add(paths[-1])
         elif token[0] == CLOSE:
             paths.pop()
-    roots = next((set(g) for g in rule["roots"] if present.intersection(g)), None)
-    blocks = _blocks(stream, rule, roots, PART_OF_NAME)
-    if not blocks and roots is None:  # all of the page is within an element with a telling part of a name
-        blocks = _blocks(stream, rule, roots, NAME)
+    kind, roots = next(((k, set(g)) for k, g in rule["roots"] if present.intersection(g)), (None, None))
+    blocks = _blocks(stream, rule, roots, PART_OF_NAME, kind)
+    if not blocks and kind in (None, "slot"):  # all of the page is within an element with a telling part of a name
+        blocks = _blocks(stream, rule, None, NAME, None)
     return "\n".join(blocks)
 
 
-def _blocks(stream: list[tuple], rule: dict, roots: set | None, least: int) -> list[str]:
-    """The blocks of the roots, or without any of the body, where marks from `least` on count."""
-    blocks: list[str] = []
+def _blocks(stream: list[tuple], rule: dict, roots: set | None, least: int, kind: str | None) -> list[str]:
+    """The blocks of the roots, or without any of the body, where marks from `least` on count.
+
+    Outside articles, what the wrapper knows as fixed or as a list of links goes; where nothing else is in named roots,
+    as on a host whose pages are all alike, it stays.
+    """
+    blocks: list[tuple[str, bool]] = []
     text: list[str] = []
     path, inside, boiler = [""], [roots is None], [False]
+    named = kind not in (None, "slot")
+
+    def frame(block: str) -> bool:
+        if kind in ("a", "wa"):
+            return False
+        if named and path[-1].rpartition(">")[2].split(".")[0] in NAMING:
+            return False
+        return _text_hash(block) in rule["fixed"].get(path[-1], ()) or path[-1] in rule["links"]
 
     def flush() -> None:
         if text:
             block = " ".join("".join(text).split())
-            if block and not (roots is None and (_text_hash(block) in rule["fixed"].get(path[-1], ()) or path[-1] in rule["links"])):
-                blocks.append(block)
+            if block:
+                blocks.append((block, frame(block)))
             text.clear()
 
     for token in stream:
@@ -353,35 +454,42 @@ def _blocks(stream: list[tuple], rule: dict, roots: set | None, least: int) -> l
             deep = len(path) > DEPTH
             path.append(path[-1] if deep else f"{path[-1]}>{token[1]}")
             root = not deep and path[-1] in (roots or ())
-            boiler.append(not root and (boiler[-1] or token[3] >= (CLEAR if roots and inside[-1] else least)))
+            boiler.append(not root and (boiler[-1] or token[3] >= (CLEAR if named and inside[-1] else least)))
             inside.append(inside[-1] or root)
         else:
             if token[1]:
                 flush()
             path.pop(), inside.pop(), boiler.pop()
     flush()
-    return blocks
+    kept = [b for b, out in blocks if not out]
+    return kept if kept or not named else [b for b, _ in blocks]
 
 
+#: Parts in which the wrappers of one host are merged before they meet.
+TURNS = 64
 #: Hosts whose wrappers a task holds before it passes them on.
 HELD_HOSTS = 2000
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list] = {}
+    """(host, turn, wrapper) of the pages that a task sees; of equal pages of a host one counts."""
+    from xxhash import xxh64_intdigest
+
+    held: dict[str, tuple[list, set]] = {}
+    turn = TaskContext.get().partitionId()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
+        return pa.RecordBatch.from_pydict({"host": list(held), "turn": [turn] * len(held), "wrapper": [json.dumps(w) for w, _ in held.values()]})
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
+        for part in slices(batch, "html"):
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                tree = page_tree(page or "")
-                if host in held:
-                    merge(held[host], tree)
-                else:
-                    held[host] = tree
+                of = xxh64_intdigest(page or "")
+                if host not in held:
+                    held[host] = page_tree(page or ""), {of}
+                elif of not in held[host][1]:
+                    held[host][1].add(of)
+                    merge(held[host][0], page_tree(page or ""))
             if len(held) > HELD_HOSTS:
                 yield out()
                 held = {}
@@ -389,24 +497,33 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _align(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by host: the wrappers of a host become one, and that its rule."""
-    host, wrapper = None, None
-    done: list[tuple[str, str, str]] = []
-    for frame in frames:
-        for h, text in zip(frame["host"], frame["wrapper"]):
-            if wrapper is not None and h == host:
-                merge(wrapper, json.loads(text))
-                continue
-            if wrapper is not None:
-                done.append((host, json.dumps(rule_of(wrapper)), expression(wrapper)))
-            host, wrapper = h, json.loads(text)
-        if len(done) > 500:
-            yield pd.DataFrame(done, columns=["host", "rule", "expression"])
-            done = []
-    if wrapper is not None:
-        done.append((host, json.dumps(rule_of(wrapper)), expression(wrapper)))
-    yield pd.DataFrame(done, columns=["host", "rule", "expression"])
+def _align(last: bool):
+    """Rows sorted by host and turn: the wrappers of a host (and, but for the last step, turn) become one; at last its rule."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, wrapper = None, None
+        done: list[tuple] = []
+        names = ["host", "rule", "expression"] if last else ["host", "turn", "wrapper"]
+
+        def row() -> tuple:
+            return (key[0], json.dumps(rule_of(wrapper)), expression(wrapper)) if last else (*key, json.dumps(wrapper))
+
+        for frame in frames:
+            for host, turn, text in zip(frame["host"], frame["turn"], frame["wrapper"]):
+                if wrapper is not None and key == (host, 0 if last else turn):
+                    merge(wrapper, json.loads(text))
+                    continue
+                if wrapper is not None:
+                    done.append(row())
+                key, wrapper = (host, 0 if last else turn), json.loads(text)
+            if len(done) > 500:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        if wrapper is not None:
+            done.append(row())
+        yield pd.DataFrame(done, columns=names)
+
+    return run
 
 
 def host_of(url):
@@ -416,16 +533,17 @@ def host_of(url):
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, rule, expression of every host of pages (url, html). Pages without a host's name share one wrapper."""
     hosted = pages.select(host_of(F.col("url")).alias("host"), "html")
-    partial = hosted.mapInArrow(_infer, "host string, wrapper string")
-    dealt = partial.repartition("host").sortWithinPartitions("host", "wrapper")
-    return stored(dealt.mapInPandas(_align, "host string, rule string, expression string"), "wrappers")
+    partial = hosted.mapInArrow(_infer, "host string, turn int, wrapper string")
+    # a host in many tasks is first merged in TURNS parts
+    parts = partial.withColumn("turn", F.pmod("turn", F.lit(TURNS))).repartition("host", "turn").sortWithinPartitions("host", "turn", "wrapper")
+    dealt = parts.mapInPandas(_align(False), "host string, turn int, wrapper string").repartition("host").sortWithinPartitions("host", "wrapper")
+    return stored(dealt.mapInPandas(_align(True), "host string, rule string, expression string"), "wrappers")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, dict] = {}
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for part in slices(batch, "html"):
             texts = []
             for page, rule in zip(part.column("html").to_pylist(), part.column("rule").to_pylist()):
                 if rule not in known:
@@ -453,4 +571,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages; nulls, empty and long pages, repeated rows, other columns and an empty table as in extract()."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
