@@ -1,8 +1,8 @@
 """WARC archives of pages, read back, with an external merge of their capture index.
 
 Each writing task makes one archive and one run of index lines (URL key, timestamp, digest, length, offset, archive),
-sorted in the task. Runs are merged by loser trees: first, while there are more than FAN_IN, in groups of that many;
-last, in one task for each range of lines, so that parts in their order hold all captures by URL key and timestamp.
+sorted in the task. Runs are merged by loser trees, FAN_IN at a time and level by level, each level in a task for each
+range of lines, so that the last parts in their order hold all captures by URL key and timestamp.
 Archives, runs and parts are files below one folder, which all machines must reach; they are written by pyarrow's file
 systems (file, hdfs, s3, ...). A task that is run again writes other file names; only those of the run that counts
 are listed in the manifest.
@@ -14,6 +14,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored
+from .common import dense_slots, scratch_path, stored
 
 #: Runs that one merging task reads at once.
 FAN_IN = 64
@@ -231,47 +232,67 @@ def _lines_from(fs, path: str, low: bytes | None, high: bytes | None) -> Iterato
                 yield line
 
 
-def _merge(folder: str):
+def _merge(folder: str, cuts: list[bytes], shift: int, level: int):
+    """Each row's files, merged from the first to the last of the 2 ** shift ranges between cuts that its range spans."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = open_fs(folder)
         for frame in frames:
-            for task in frame.to_dict("records"):
-                low, high = (None if x is None else x.encode("latin-1") for x in (task["low"], task["high"]))
-                tree = LoserTree([_lines_from(fs, f"{root}/{r}", low, high) for r in task["runs"]])
-                name = f"{task['name']}-{TaskContext.get().taskAttemptId()}.cdx"
-                n, marks = _run_file(fs, f"{root}/{name}", tree)
-                yield pd.DataFrame({"part": [task["part"]], "run": [name], "lines": [n], "bounds": [_bounds(marks)]})
+            for slot, r, files in zip(frame["slot"], frame["r"], frame["files"]):
+                first, last = r << shift, (r + 1) << shift
+                low, high = cuts[first - 1] if r else None, cuts[last - 1] if last <= len(cuts) else None
+                tree = LoserTree([_lines_from(fs, f"{root}/{f['file']}", low, high) for f in files])
+                name = f"merged{level}-{slot:08d}-{r:08d}-{TaskContext.get().taskAttemptId()}.cdx"
+                n, _ = _run_file(fs, f"{root}/{name}", tree)
+                yield pd.DataFrame({"slot": [slot], "r": [r], "file": [name], "lines": [n]})
 
     return run
 
 
-MERGE_SCHEMA = "part int, run string, lines long, bounds array<string>"
+def _cuts(runs: DataFrame, ranges: int) -> list[bytes]:
+    """ranges - 1 of the bounds that runs offer, ascending, with about as many bounds between each two; none without bounds."""
+    offered = runs.select(F.lit(0).alias("all"), F.explode("bounds").alias("bound"))
+    n = offered.count()
+    if ranges < 2 or not n:
+        return []
+    places = runs.sparkSession.createDataFrame([(n * i // ranges, i) for i in range(1, ranges)], "slot long, i int")
+    rows = dense_slots(offered, "all", ["bound"], "slot").join(F.broadcast(places), "slot").select("i", "bound").collect()  # ranges - 1
+    return [r["bound"].encode("latin-1") for r in sorted(rows)]
+
 
+#: Tasks that a level of merging is dealt over at most; a task may have several ranges to merge.
+MOST_TASKS = 20_000
 
-def merge_runs(spark: SparkSession, folder: str, runs: list[tuple[str, int, list[str]]], fan_in: int = FAN_IN, lines_per_range: int = LINES_PER_RANGE) -> list[str]:
-    """runs: (file, lines, bounds) in folder. Returns the files that, one after another, hold all lines in order.
 
-    The driver holds names of runs and a few bounds of each, no lines.
+def merge_runs(spark: SparkSession, folder: str, runs, fan_in: int = FAN_IN, lines_per_range: int = LINES_PER_RANGE) -> list[str]:
+    """runs: (run, lines, bounds), a table or a list, files in folder. Returns the files that, one after another, hold
+    all lines in order.
+
+    Each level merges `fan_in` runs into one that is split into ranges, the more the fewer runs are left, so that no task
+    writes much more than lines_per_range lines. The driver holds the cuts between ranges and the names of the last
+    files, one for each range; runs stay in tables.
     """
-    task_schema = "part int, name string, runs array<string>, low string, high string"
-
-    def do(tasks: list[tuple], tag: str) -> list:
-        frame = spark.createDataFrame(tasks, task_schema).repartition(len(tasks), "part")
-        return sorted(stored(frame.mapInPandas(_merge(folder), MERGE_SCHEMA), tag).collect(), key=lambda r: r["part"])
-
-    level = 0
-    while len(runs) > fan_in:
-        groups = [runs[i : i + fan_in] for i in range(0, len(runs), fan_in)]
-        tasks = [(i, f"level{level}-{i:06d}", [r[0] for r in g], None, None) for i, g in enumerate(groups)]
-        runs = [(r["run"], r["lines"], list(r["bounds"])) for r in do(tasks, "merge")]
-        level += 1
-    if not runs:
+    if isinstance(runs, list):
+        runs = spark.createDataFrame(runs, "run string, lines long, bounds array<string>")
+    n, lines = runs.agg(F.count(F.lit(1)), F.sum("lines")).first()
+    if not n:
         return []
-    ranges = max(1, -(-sum(r[1] for r in runs) // lines_per_range))
-    offered = sorted({b for r in runs for b in r[2]})
-    cuts = sorted({offered[len(offered) * i // ranges] for i in range(1, ranges)}) if offered else []
-    tasks = [(i, f"history-{i:06d}", [r[0] for r in runs], low, high) for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None]))]
-    return [r["run"] for r in do(tasks, "history")]
+    halvings = max(0, math.ceil(math.log2(max(1, lines / lines_per_range))))
+    cuts = _cuts(runs, 2**halvings)
+    halvings = halvings if cuts else 0
+    files = dense_slots(runs.select(F.lit(0).alias("all"), F.col("run").alias("file")), "all", ["file"], "slot").select("slot", F.lit(0).alias("r"), "file")
+    level = have = 0
+    while True:
+        groups = -(-n // fan_in)
+        want = max(have, halvings - math.ceil(math.log2(groups)))
+        parts = 2 ** (want - have)
+        finer = files.withColumn("r", F.explode(F.sequence((F.col("r") * parts).cast("int"), ((F.col("r") + 1) * parts - 1).cast("int"))))
+        tasks = finer.groupBy(F.floor(F.col("slot") / fan_in).alias("group"), "r").agg(F.array_sort(F.collect_list(F.struct("slot", "file"))).alias("files"))
+        dealt = tasks.withColumnRenamed("group", "slot").repartition(min(MOST_TASKS, groups * 2**want), "slot", "r")
+        files = stored(dealt.mapInPandas(_merge(folder, cuts, halvings - want, level), "slot long, r int, file string, lines long"), "merged")
+        n, have, level = groups, want, level + 1
+        if groups == 1:
+            return [r["file"] for r in files.select("r", "file").orderBy("r").collect()]
 
 
 def _history(folder: str):
@@ -313,13 +334,12 @@ def archive(pages: DataFrame, folder: str, captured: Column, min_bytes: int = 0,
     known = rows.join(last, F.col("digest") == F.col("of"), "left").withColumn("revisit", F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
     written = known.select("page_id", "url", "html", F.coalesce("date", F.lit("1970-01-01T00:00:00Z")).alias("date"), "revisit", F.when(F.col("revisit"), F.col("refers_to")).alias("refers_to"))
     manifest = stored(written.mapInArrow(_write(folder, level), "warc string, run string, lines long, bounds array<string>"), "manifest")
-    runs = [(r["run"], r["lines"], list(r["bounds"])) for r in manifest.select("run", "lines", "bounds").orderBy("run").collect()]
-    return manifest, merge_runs(pages.sparkSession, folder, runs)
+    return manifest, merge_runs(pages.sparkSession, folder, manifest.select("run", "lines", "bounds"))
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, page_type: str = "bigint") -> DataFrame:
     """warc, offset, page_id, payload_bytes, payload_digest, record_type, refers_to of every record; payloads are checked."""
-    names = manifest.select("warc").repartition("warc")
+    names = manifest.select("warc").repartition(min(MOST_TASKS, max(1, manifest.count())), "warc")  # a number, so that few names stay apart
     out = names.mapInPandas(_read(folder), "warc string, offset long, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return out.withColumn("page_id", F.col("page_id").cast(page_type)).withColumn("refers_to", F.col("refers_to").cast(page_type))
 
@@ -331,7 +351,8 @@ def read_history(spark: SparkSession, folder: str, parts: list[str]) -> DataFram
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages have no capture time; here it is the page_id in seconds after the start of 2024."""
+    """A record for each of pages, read back. pages have no capture time; here it is the page_id in seconds after the
+    start of 2024. Nulls, empty payloads, ties, repeated rows, other columns and an empty table are as in archive()."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = scratch_path(spark, "warc")
     manifest, parts = archive(pages, folder, F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col("page_id"), F.lit(0))))
