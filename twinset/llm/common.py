@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import types
@@ -24,9 +25,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is named (tests)."""
+    """The shared folder of the cluster; a folder of our own only in local mode, where none is named (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="twinset-")
         spark.conf.set("spark.checkpoint.dir", base)
         _made.append((spark, base))
@@ -39,17 +42,38 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = "2000"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, BATCH_ROWS)  # rows hold whole texts: batches of the default size take much memory on both sides
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes every scratch table; called at exit. Frames that still read one of them can't be used afterwards."""
-    while _made:
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, which it does after a collection."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
+def made() -> int:
+    """How many scratch tables there are, for release()."""
+    return len(_made)
+
+
+def release(since: int = 0) -> None:
+    """Deletes the scratch tables made since there were so many, at exit all. Frames that still read one of them can't be
+    used afterwards."""
+    while len(_made) > since:
         spark, path = _made.pop()
         try:
             jvm = spark.sparkContext._jvm
@@ -79,6 +103,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 256, most_by
         yield batch.slice(start)
 
 
+def trimmed(run: Callable) -> Callable:
+    """run, a function over batches; at its end the Python process gives back the memory that it no longer uses."""
+
+    def run_and_trim(batches):
+        import ctypes
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run_and_trim
+
+
 def per_worker(name: str, make: Callable[[], object]) -> object:
     """What make() gives, made once in a Python process: functions travel by value, so their modules hold nothing there."""
     held = sys.modules.setdefault("twinset_worker", types.ModuleType("twinset_worker"))
