@@ -1,12 +1,15 @@
 """The operators' methods against brute force, and the pipeline's stages on rows that are not as they should be."""
 
+import math
 import random
+import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from twinset.llm import html, lines, simhash, substring
+from twinset.llm import html, lines, mixing, packing, registry, simhash, substring
 from twinset.llm.common import text_key
 
 
@@ -216,3 +219,77 @@ def test_stages_take_any_rows_and_columns(spark):
     assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), "").count() == 0
     cleaned = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").where("doc_id >= 60").collect()}
     assert all("license" not in cleaned[60 + i] for i in range(12)) and cleaned[80] == rows[-1][1]
+
+
+def test_mixing_balances_sources_and_sizes(spark):
+    rng = random.Random(31)
+    rows = []
+    for i in range(900):
+        source = rng.choice("abbc")
+        rows.append((i, " ".join(["w"] * (rng.randint(1, 40) if source == "a" else rng.randint(10, 900))), source))
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), [5.0, 2.0, 1.0]).collect()
+    size_class = lambda r: math.floor(math.log2(r["size"] + 1))
+    rate = {}
+    for r in got:
+        assert rate.setdefault((r["source"], size_class(r)), r["rate"]) == r["rate"]
+    mass = lambda of: sum(r["size"] * r["rate"] for r in got if of(r))
+    for s in "abc":
+        target = next(r["target"] for r in got if r["source"] == s)
+        assert abs(mass(lambda r: r["source"] == s) - target) <= 1e-6 * target
+    full = {s for s in "abc" if all(abs(v - 3) < 1e-9 for (t, _), v in rate.items() if t == s)}
+    # between two sources, rates of a class differ by one factor: exponential tilts of source and of class
+    for s in set("abc") - full:
+        for t in set("abc") - full:
+            factors = [rate[s, k] / rate[t, k] for k in range(12) if (s, k) in rate and (t, k) in rate and max(rate[s, k], rate[t, k]) < 3]
+            assert not factors or max(factors) - min(factors) <= 1e-6 * max(factors)
+    # and sizes are nearer to their shares of all words than with one rate for a source
+    words, total, wanted = sum(r["size"] for r in got), mass(lambda r: True), {r["source"]: r["target"] / r["source_size"] for r in got}
+    off = lambda rate_of: sum(abs(sum(r["size"] * rate_of(r) for r in got if size_class(r) == b) / total - sum(r["size"] for r in got if size_class(r) == b) / words) for b in range(12))
+    assert off(lambda r: r["rate"]) < off(lambda r: wanted[r["source"]])
+
+
+def test_packed_pieces_are_the_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.default_tokenizer())
+    model.encode_special_tokens = True
+    rng = random.Random(32)
+    texts = [text(rng, rng.choice([1, 5, 60, 300, 900, 4000])) for _ in range(60)] + ["", None, "  two  blanks \n\n", "äöü 中文 <|endoftext|> 12345 don't", "x" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = packing.pack_documents(docs, packing.default_tokenizer(), 1024, 2).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+    bins, total = {}, 0
+    for i, t in enumerate(texts):
+        ids = model.encode(t or "", add_special_tokens=False).ids + [2]
+        own = sorted(by[i], key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(len(own))) and [r["start"] for r in own] == [sum(x["length"] for x in own[:k]) for k in range(len(own))]
+        for r in own:
+            part = ids[r["start"] : r["start"] + r["length"]]
+            assert len(part) == r["length"] <= 1024 and r["ids_crc32"] == zlib.crc32(np.array(part, dtype="<u4").tobytes())
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert sum(r["length"] for r in own) == len(ids) and (len(own) == 1 or len(ids) > 1024)
+        total += len(ids)
+    for parts in bins.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:])) and min(parts)[0] == 0 and sum(n for _, n in parts) <= 1024
+    rooms = []  # first fit, longest first
+    for n in sorted((r["length"] for r in rows), reverse=True):
+        k = next((k for k, room in enumerate(rooms) if room >= n), None)
+        if k is None:
+            rooms.append(1024 - n)
+        else:
+            rooms[k] -= n
+    assert -(-total // 1024) <= len(bins) <= len(rooms)
+
+
+@pytest.mark.parametrize("name", ["op3_sharding", "op7_warc"])
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    cursor = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    got = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, cursor.fetchall()))

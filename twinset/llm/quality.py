@@ -118,7 +118,10 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with all their columns. docs must not have columns named as the measures are."""
+    """The rows of docs (doc_id, text, lang, source) that pass, with all their columns, which may have any names.
+
+    Null and empty texts fail; repeated rows pass or fail alike; an empty table stays empty.
+    """
     names = docs.columns
     held = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "source")
     wide = stored(measures(held).drop("text"), "measured")
@@ -126,6 +129,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents; nulls, empty and long texts, ties, repeated rows, other columns and an empty
+    table as in quality()."""
     out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_upper", "n_lines")
 

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.OP5_SQL}
+    return {"op3_sharding": sharding.OP3_SQL, "op5_quality_rules": quality.OP5_SQL, "op7_warc": warc.OP7_SQL}

@@ -54,5 +54,21 @@ def write_shards(docs: DataFrame, weights: list[float], path: str, key: str = "d
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards; nulls, empty texts, ties, repeated rows, other columns and an empty table as in assign()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return assign(docs, [1.0] * 16, [1.0] * 17).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+#: The same in DuckDB: CRC32 by a table of 256 steps over the bytes, draws by MD5.
+OP3_SQL = """
+WITH tbl AS (SELECT list(CAST(c AS UBIGINT) ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(CAST(n AS UBIGINT), list_transform(range(8), lambda i: CAST(0 AS UBIGINT))),
+               lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT d.*, hex(encode(text)) AS h FROM d),
+c AS (SELECT rid, doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size,
+             CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(regexp_extract_all(h, '..'), lambda s: CAST('0x' || s AS UBIGINT))),
+                 lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INTEGER) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM b, tbl),
+s AS (SELECT *, list_transform(range(17), lambda i: 1.0 / -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || i), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)) AS scores FROM c),
+p AS (SELECT *, CAST(list_position(scores[1:16], list_max(scores[1:16])) - 1 AS INTEGER) AS shard, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS grown_shard FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard FROM p
+"""

@@ -358,3 +358,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, parts = archive(pages, folder, F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col("page_id"), F.lit(0))))
     records = read_archives(spark, folder, manifest)
     return read_history(spark, folder, parts).join(records, ["warc", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "history_part", "history_line")
+
+
+#: The same in DuckDB for URLs of plain characters without user names, ports and fragments, and an index of one range.
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+h AS (SELECT *, sha1(html) AS x, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*([?][^#]+)', 1) AS query FROM p),
+k AS (SELECT *, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(x, 5 * g + 1, 5) AS BIGINT) >> s) & 31) + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
+             array_to_string(list_reverse(string_split(regexp_replace(lower(host), '^www[.]', ''), '.')), ',') || ')' || lower(CASE WHEN path = '' THEN '/' ELSE path END || query) AS url_key,
+             max(page_id) OVER (PARTITION BY x) AS top, strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y%m%d%H%M%S') AS timestamp FROM h)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to,
+       url_key, timestamp, 0 AS history_part, CAST(row_number() OVER (ORDER BY url_key, timestamp) - 1 AS BIGINT) AS history_line FROM k"""
