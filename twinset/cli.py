@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.paths import base_name, parent, parts
 from .functions.rule import MatchRule
 from .operators import analyze, describe, difftree
-from .operators.repository import Repository, find_report, find_repository, read_report, report_is_valid
+from .operators.repository import LOG, REPORT, Repository, find_report, find_repository, read_report, report_is_valid
 from .sources.filesystem import catalog_from_fs
 
+VARIABLE = "TWINSET_REPOSITORY"
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="twinset", description=__doc__)
-    p.add_argument("--repository", help="directory with the index; default: the nearest above here")
+    p.add_argument("--repository", help=f"directory with the index; default: ${VARIABLE}, else the nearest above here")
+    p.add_argument("--verbose", action="store_true", help="say what is being done")
+    p.add_argument("--log-file", help="default: logging.path of the index's settings, else none")
+    p.add_argument("--log-level", choices=("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"), default="INFO")
     commands = p.add_subparsers(dest="command", required=True)
     for name in ("rebuild", "refresh", "inspect"):
         commands.add_parser(name)
@@ -37,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--sort-by", choices=describe.SORTS, default="size")
     d.add_argument("--sort-children", choices=describe.CHILD_SORTS, default="dup-size")
     d.add_argument("--directory", action="store_true")
+    d.add_argument("--keep-input-order", action="store_true", help="several paths: as given, not sorted")
     t = commands.add_parser("diff-tree")
     t.add_argument("analyzed")
     t.add_argument("repository_directory")
@@ -59,11 +67,21 @@ def limit_of(args: argparse.Namespace) -> int | None:
 
 
 def _repository(spark: SparkSession, args: argparse.Namespace) -> Repository:
-    create = args.command in ("rebuild", "import")
-    if args.repository:
-        return Repository(spark, args.repository, create)
-    found = find_repository(os.getcwd())
-    return Repository(spark, found[0] if found else os.getcwd(), create)
+    """rebuild and refresh make an index where there is none."""
+    create = args.command in ("rebuild", "refresh")
+    listen = (lambda m: print(m, file=sys.stderr)) if args.verbose else None
+    given = args.repository or os.environ.get(VARIABLE)
+    if not given:
+        found = find_repository(os.getcwd())
+        given = found[0] if found else os.getcwd()
+    repository = Repository(spark, given, create, listen=listen)
+    where = args.log_file or repository.settings.get("logging.path")
+    if where:
+        handler = logging.FileHandler(os.path.join(given, where) if not args.log_file else where)
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        LOG.addHandler(handler)
+        LOG.setLevel(args.log_level if args.log_file else repository.settings.get("logging.level", args.log_level))
+    return repository
 
 
 def _describe(spark: SparkSession, args: argparse.Namespace) -> str:
@@ -72,15 +90,34 @@ def _describe(spark: SparkSession, args: argparse.Namespace) -> str:
         raise SystemExit("all paths must belong to one report")
     if args.directory and (len(args.paths) != 1 or not os.path.isdir(args.paths[0])):
         raise SystemExit("--directory takes one directory")
-    rows, _ = read_report(spark, found[0][0])
-    if len(args.paths) == 1 and (args.directory or not os.path.isdir(args.paths[0]) or args.details or args.all or args.limit):
-        record = rows.where(F.col("path") == found[0][1]).first()
-        return "no duplicates" if record is None else describe.print_duplicates(record.asDict(recursive=True), os.path.isdir(args.paths[0]), args.sort_by, limit_of(args), args.bytes)
-    totals = rows.withColumn("n_duplicates", F.size("duplicates").cast("long")).drop("duplicates")
-    tree = catalog_from_fs(spark, found[0][0], "analyzed", yield_root=True, digests=False)
-    shown = describe.describe_children(totals, tree, found[0][1], args.sort_children) if len(args.paths) == 1 else tree.select("path", F.col("path").alias("name"), "kind").where(F.col("path").isin([f[1] for f in found])).join(totals, "path", "left").withColumn("place", F.lit(1))
-    listed = [r.asDict() for r in shown.orderBy("place", "name").collect()]  # one directory's children, or the given paths
-    return describe.print_table(listed, ["name", "kind", "total_size", "total_items", "duplicated_size", "duplicated_items", "n_duplicates"])
+    if args.keep_input_order and len(args.paths) < 2:
+        raise SystemExit("--keep-input-order is for several paths")
+    target = found[0][0]
+    rows, manifest = read_report(spark, target)
+    out = []
+    if args.details:
+        out += [f"Report: {target}{REPORT}", f"Analyzed: {target}", f"Repository: {manifest['repository_path']}", f"Timestamp: {manifest['timestamp']}", ""]
+    tree = catalog_from_fs(spark, target, "analyzed", yield_root=True, digests=False)
+    if len(args.paths) > 1:
+        order = {f[1]: i for i, f in reversed(list(enumerate(found)))}
+        named = tree.select("path", base_name(parts(F.col("path"))).alias("name"), "kind").where(F.col("path").isin(list(order)))
+        listed = [r.asDict() for r in describe.describe_rows(named, rows).collect()]  # the given paths
+        by = (lambda r: order[r["path"]]) if args.keep_input_order else describe.child_key(args.sort_children)
+        return "\n".join([*out, describe.print_table([describe.describe_cells(r, args.bytes) for r in sorted(listed, key=by)], describe.TABLE)])
+    path = found[0][1]
+    record = rows.where(F.col("path") == path).first()
+    folder = os.path.isdir(args.paths[0])
+    if record is None:  # a directory without a match may hold entries that have one
+        out.append(f"no duplicates: {path}")
+    else:
+        out += [describe.DEFINITIONS, ""] if args.details else []
+        out.append(describe.print_duplicates(record.asDict(recursive=True), folder, args.sort_by, limit_of(args), args.bytes))
+    if folder and not args.directory:
+        p = parts(F.col("path"))
+        named = tree.where(parent(p) == path).select("path", base_name(p).alias("name"), "kind")
+        listed = [r.asDict() for r in describe.describe_rows(named, rows).collect()]  # one directory's entries
+        out += ["", describe.print_table([describe.describe_cells(r, args.bytes) for r in sorted(listed, key=describe.child_key(args.sort_children))], describe.TABLE)]
+    return "\n".join(out)
 
 
 def _diff_tree(spark: SparkSession, args: argparse.Namespace) -> str:

@@ -29,6 +29,17 @@ def file_matches(analyzed: DataFrame, repository: DataFrame, rule: MatchRule = M
     return pairs.withColumn("is_identical", rule.holds()).withColumn("is_superset", F.col("is_identical")).select(*MATCH_COLUMNS)
 
 
+def same_name_matches(analyzed: DataFrame, repository: DataFrame, rule: MatchRule = MatchRule(), keys: tuple[str, ...] = ("digest",)) -> DataFrame:
+    """The file matches with equal base names: all that directories need. Copies of common contents, such as empty files,
+    meet by name here, not each with each."""
+    a, b = (t.withColumn("name", base_name(parts(F.col("path")))) for t in (analyzed, repository))
+    return file_matches(a, b, rule, (*keys, "name"))
+
+
+def matched_files(analyzed: DataFrame, repository: DataFrame, keys: tuple[str, ...] = ("digest",)) -> DataFrame:
+    return analyzed.where("kind = 'file'").join(repository.where("kind = 'file'").select(*keys).distinct(), list(keys), "left_semi").select("path")
+
+
 def unmatched_files(analyzed: DataFrame, repository: DataFrame, keys: tuple[str, ...] = ("digest",)) -> DataFrame:
     files = analyzed.where("kind = 'file'")
     return files.join(repository.where("kind = 'file'").select(*keys).distinct(), list(keys), "left_anti")
@@ -76,14 +87,15 @@ def local_flags(pairs: DataFrame, matches: DataFrame, analyzed: DataFrame, repos
     """(d, e, not_identical, not_superset) from child names alone: whether names differ, and whether a child of d is
     neither matched within e nor deferred."""
     known = matches.select(F.col("path").alias("child"), F.col("dup_path").alias("other")).unionByName(pairs.select(F.col("d").alias("child"), F.col("e").alias("other"))).distinct()
-    each = pairs.join(_children(analyzed).select(F.col("dir").alias("d"), "name", "child"), "d")
-    each = each.withColumn("other", F.concat_ws("/", "e", "name")).join(known.withColumn("matched", F.lit(1)), ["child", "other"], "left")
+    each = pairs.join(_children(analyzed).select(F.col("dir").alias("d"), "name", "child"), "d").withColumn("other", F.concat_ws("/", "e", "name"))
+    each = each.join(repository.select(F.col("path").alias("other"), F.lit(1).alias("there")), "other", "left")
+    each = each.join(known.withColumn("matched", F.lit(1)), ["child", "other"], "left")
     waiting = F.lit(None)
     if deferred is not None:
         each = each.join(deferred.select("d", F.col("t").alias("child"), F.lit(1).alias("waiting")), ["d", "child"], "left")
         waiting = F.col("waiting")
-    missed = each.groupBy("d", "e").agg(F.bool_or(F.col("matched").isNull() & waiting.isNull()).alias("missed"))
-    sets = _name_sets(pairs, analyzed, repository).join(missed, ["d", "e"])
+    sets = each.groupBy("d", "e").agg(F.count(F.lit(1)).alias("n_d"), F.count("there").alias("n_both"), F.bool_or(F.col("matched").isNull() & waiting.isNull()).alias("missed"))
+    sets = sets.join(_children(repository).groupBy(F.col("dir").alias("e")).agg(F.count(F.lit(1)).alias("n_e")), "e")
     subset = F.col("n_both") == F.col("n_d")
     return sets.select("d", "e", (~subset | (F.col("n_e") != F.col("n_d")) | F.col("missed")).alias("not_identical"), (~subset | F.col("missed")).alias("not_superset"))
 
@@ -121,7 +133,8 @@ def deferred_items(pairs: DataFrame, analyzed: DataFrame, repository: DataFrame,
 
 
 def dir_matches(analyzed: DataFrame, repository: DataFrame, matches: DataFrame, rule: MatchRule = MatchRule(), strict_specials: bool = False) -> DataFrame:
-    """Matches of directories, in the columns of file matches. matches: the file matches of the two catalogs.
+    """Matches of directories, in the columns of file matches. matches: the file matches of the two catalogs, of which
+    those with equal base names count (same_name_matches() gives no others).
 
     duplicated_size and duplicated_items count what lies at the same place within that one repository directory.
     """
@@ -179,13 +192,14 @@ def _with_special(totals: DataFrame, analyzed: DataFrame, repository: DataFrame,
     return totals.join(more, "path", "left").withColumn("duplicated_items", F.col("duplicated_items") + F.coalesce("more", F.lit(0))).drop("more")
 
 
-def records(analyzed: DataFrame, repository: DataFrame, files: DataFrame, dirs: DataFrame) -> DataFrame:
+def records(analyzed: DataFrame, repository: DataFrame, files: DataFrame, dirs: DataFrame, matched: DataFrame | None = None) -> DataFrame:
     """A record for each matched file and directory: path, its totals, and its matches as an array.
 
-    files, dirs: from file_matches and dir_matches. A file counts once, wherever its copies are.
+    files, dirs: from file_matches and dir_matches; matched: from matched_files, else told from files. A file counts
+    once, wherever its copies are.
     """
     dirs = dirs.persist()
-    totals = dir_totals(analyzed, files)
+    totals = dir_totals(analyzed, files if matched is None else matched)
     if has_special(analyzed):
         totals = _with_special(totals, analyzed, repository, dirs)
     match = F.struct(*MATCH_COLUMNS[1:])
@@ -203,4 +217,5 @@ def matches_of(record_rows: DataFrame) -> DataFrame:
 
 def analyze(analyzed: DataFrame, repository: DataFrame, rule: MatchRule = MatchRule(), keys: tuple[str, ...] = ("digest",)) -> DataFrame:
     files = file_matches(analyzed, repository, rule, keys)
-    return records(analyzed, repository, files, dir_matches(analyzed, repository, files, rule))
+    dirs = dir_matches(analyzed, repository, same_name_matches(analyzed, repository, rule, keys), rule)
+    return records(analyzed, repository, files, dirs, matched_files(analyzed, repository, keys))

@@ -37,6 +37,50 @@ def best_match(matches: DataFrame) -> DataFrame:
     return best.join(matches.groupBy("path").agg(F.count(F.lit(1)).alias("n_duplicates")), "path")
 
 
+def shares(rows: DataFrame) -> DataFrame:
+    """rows (total_size, total_items, duplicated_size, duplicated_items, best_size) with size_ratio, items_ratio and
+    max_ratio from 0 to 1; 0 where the total is 0 or there is no record."""
+    of = lambda part, whole: F.coalesce(F.when(F.col(whole) > 0, F.col(part) / F.col(whole)), F.lit(0.0))
+    return rows.withColumns({"size_ratio": of("duplicated_size", "total_size"), "items_ratio": of("duplicated_items", "total_items"), "max_ratio": of("best_size", "total_size")})
+
+
+def describe_rows(named: DataFrame, record_rows: DataFrame) -> DataFrame:
+    """named (path, name, kind, ...) with the totals, shares and largest match of each path's record, and in_report."""
+    totals = record_rows.select("path", "total_size", "total_items", "duplicated_size", "duplicated_items", F.lit(True).alias("has"))
+    best = best_match(record_rows.select("path", F.explode("duplicates").alias("m")).select("path", "m.*"))
+    rows = named.join(totals, "path", "left").join(best, "path", "left")
+    return shares(rows.withColumn("in_report", F.coalesce("has", F.lit(False))).drop("has"))
+
+
+#: Heads of the table of records and whether a column stands at the right.
+TABLE = [("Name", False), ("Type", False), ("Total Size", True), ("Dup Size", True), ("Size %", True), ("Total Items", True), ("Dup Items", True), ("Items %", True), ("Dups", True), ("Max Match", True), ("Max %", True), ("Status", False), ("In Report", False)]
+
+
+def describe_cells(row: dict, in_bytes: bool = False) -> list[str]:
+    """The cells of one of describe_rows(), as in TABLE."""
+    size = str if in_bytes else human_size
+    kind = "Dir" if row["kind"] == "dir" else "File"
+    if not row["in_report"]:
+        return [row["name"], kind, "-", size(0), "-", "-", "-", "-", "0", size(0), "-", "-", "No"]
+    total, items, best = row["total_size"], row["total_items"], row["best_size"] or 0
+    status = "-" if row["best_rank"] is None else ("Partial", "Superset", "Identical")[row["best_rank"]]
+    shown = [size(total), size(row["duplicated_size"]), percentage(row["duplicated_size"], total), str(items), str(row["duplicated_items"]), percentage(row["duplicated_items"], items)]
+    return [row["name"], kind, *shown, str(row["n_duplicates"] or 0), size(best), percentage(best, total), status, "Yes"]
+
+
+#: What `describe --details` says first.
+DEFINITIONS = """Terms
+  Total: all files and special items at or below the path; directories are no items.
+  Duplicated (Dup): of these, what has a copy anywhere in the repository, each once.
+  Unique: the rest.
+  Match: one place in the repository. Its size and items count what lies at the same place within it.
+  Status: Identical, all is there with equal metadata; Superset, all is there, and more; Partial, some is missing.
+  Matching: the metadata that agree, of mtime, atime, ctime, mode, owner and group.
+Columns
+  Size %, Items %: duplicated of total. Dups: number of matches. Max Match, Max %: the largest match's size and share.
+  Status: of the largest match. In Report: No for what has no duplicate."""
+
+
 def describe_children(totals: DataFrame, catalog: DataFrame, folder: str, sort_children: str = "dup-size") -> DataFrame:
     """The children of a folder with their records, and their place in the order. Children without a record have nulls.
 
@@ -55,6 +99,16 @@ def describe_children(totals: DataFrame, catalog: DataFrame, folder: str, sort_c
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*order, "name")))
 
 
+def child_key(sort_children: str):
+    """The order of describe_children() for collected rows of describe_rows()."""
+    n = lambda r, c: -(r[c] or 0)
+    return {
+        "dup-items": lambda r: (n(r, "n_duplicates"), n(r, "duplicated_size"), n(r, "total_size"), r["name"]),
+        "total-size": lambda r: (n(r, "total_size"), r["name"]),
+        "name": lambda r: (r["name"],),
+    }.get(sort_children, lambda r: (n(r, "duplicated_size"), n(r, "n_duplicates"), n(r, "total_size"), r["name"]))
+
+
 def status_text(is_dir: bool, row: dict) -> str:
     if is_dir:
         return "Identical" if row["is_identical"] else "Superset" if row["is_superset"] else "Partial match"
@@ -93,9 +147,9 @@ def print_duplicates(record: dict, is_dir: bool, sort_by: str = "size", limit: i
     return "\n".join(lines)
 
 
-def print_table(rows: list[dict], columns: list[str]) -> str:
-    """Columns as wide as their widest cell, two blanks apart, a rule under the head; null is -."""
-    cells = [columns, *[["-" if r[c] is None else str(r[c]) for c in columns] for r in rows]]
-    widths = [max(len(row[i]) for row in cells) for i in range(len(columns))]
-    shown = ["  ".join(x.ljust(w) for x, w in zip(row, widths)).rstrip() for row in cells]
+def print_table(rows: list[list[str]], heads: list[tuple[str, bool]]) -> str:
+    """Columns as wide as their widest cell, two blanks apart, a rule under the heads."""
+    cells = [[h for h, _ in heads], *rows]
+    widths = [max(len(row[i]) for row in cells) for i in range(len(heads))]
+    shown = ["  ".join(x.rjust(w) if right else x.ljust(w) for x, w, (_, right) in zip(row, widths, heads)).rstrip() for row in cells]
     return "\n".join([shown[0], "  ".join("-" * w for w in widths), *shown[1:]])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, parts, prefixes
+from ..functions.rule import MatchRule
+from . import analyze
 
 MARKS = {"ANALYZED_ONLY": " [A]", "REPOSITORY_ONLY": " [R]", "DIFFERENT": " [D]", "CONTENT_MATCH": " [M]", "SUPERSET": " [+]", "IDENTICAL": ""}
 
@@ -37,6 +39,21 @@ def node_status(analyzed: DataFrame, repository: DataFrame, matches: DataFrame,
     return rows.select("rel", F.coalesce("a_kind", "b_kind").alias("kind"), status.alias("status"))
 
 
+def compare(analyzed: DataFrame, repository: DataFrame, start: str, against: str, rule: MatchRule = MatchRule()) -> DataFrame:
+    """node_status() of two directories without a report. Only what stands at the same place below both counts for it, so
+    that files meet on place and digest, and nothing outside the two directories is matched."""
+
+    def inside(catalog: DataFrame, top: str) -> DataFrame:
+        kept = catalog.where((F.col("path") == top) | F.col("path").startswith(top + "/"))
+        return kept.withColumn("rel", F.substring("path", F.lit(len(top) + 2), F.length("path")))
+
+    a, b = inside(analyzed, start), inside(repository, against)
+    files = analyze.file_matches(a, b, rule, ("digest", "rel")).persist()
+    dirs = analyze.dir_matches(a, b, files, rule)
+    totals = analyze.dir_totals(a, files).select("path", "total_items").unionByName(a.where("kind = 'file'").select("path", F.lit(1).cast("long").alias("total_items")))
+    return node_status(analyzed, repository, files.unionByName(dirs), totals, start, against)
+
+
 def diff_tree(nodes: DataFrame, hide_content_match: bool = False, max_depth: int | None = 3, show: str = "both") -> DataFrame:
     """rel, kind, status, depth, cut of the nodes that print. nodes: from node_status. cut: the depth ends here.
 
@@ -74,16 +91,18 @@ def render(rows: list[dict], start: str, status: str = "DIFFERENT") -> str:
         below.setdefault(r["rel"].rpartition("/")[0], []).append(r)
     lines = [start.rpartition("/")[2] + MARKS[status]]
 
-    def walk(at: str, lead: str) -> None:
-        own = below.get(at, [])
-        for i, r in enumerate(own):
-            last = i == len(own) - 1
-            lines.append(lead + ("└── " if last else "├── ") + r["rel"].rpartition("/")[2] + MARKS[r["status"]])
-            deeper = lead + ("    " if last else "│   ")
-            if r["cut"]:
-                lines.append(deeper + "└── ...")
-            elif r["kind"] == "dir":
-                walk(r["rel"], deeper)
-
-    walk("", "")
+    todo = [("", "", iter(below.get("", [])), len(below.get("", [])))]  # (directory, lead, its entries to come, how many)
+    while todo:
+        at, lead, entries, left = todo.pop()
+        r = next(entries, None)
+        if r is None:
+            continue
+        todo.append((at, lead, entries, left - 1))
+        lines.append(lead + ("└── " if left == 1 else "├── ") + r["rel"].rpartition("/")[2] + MARKS[r["status"]])
+        deeper = lead + ("    " if left == 1 else "│   ")
+        if r["cut"]:
+            lines.append(deeper + "└── ...")
+        elif r["kind"] == "dir":
+            own = below.get(r["rel"], [])
+            todo.append((r["rel"], deeper, iter(own), len(own)))
     return "\n".join(lines)

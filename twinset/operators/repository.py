@@ -6,22 +6,24 @@ A new state of the index is written as a new version; the manifest, replaced in
 from __future__ import annotations
 
 import json
+import logging
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digest import ALGORITHMS, algorithm
+from ..functions.digest import ALGORITHMS, algorithm, file_digests, with_equal_bytes
 from ..functions.rule import MatchRule
 from ..sources.filesystem import catalog_from_fs
 from ..sources.settings import IndexSettings
 from . import analyze, index
 
+LOG = logging.getLogger("twinset")
 HOME = ".twinset"
 REPORT = ".report"
 
@@ -55,8 +57,13 @@ def _write_json(path: Path, value: dict) -> None:
 
 
 class Repository:
-    def __init__(self, spark: SparkSession, root: str, create: bool = False):
+    """algorithms: hash algorithms by name beside the built-in ones; follow: what decides which links are followed, from
+    (path, target) to bool, in place of the list in the settings; bytes: whether contents of equal digest are compared
+    byte by byte, else digests are trusted; listen: called with each message."""
+
+    def __init__(self, spark: SparkSession, root: str, create: bool = False, algorithms: dict | None = None, follow: Callable[[str, str], bool] | None = None, bytes: bool = True, listen: Callable[[str], None] | None = None):
         self.spark, self.root = spark, Path(root)
+        self.algorithms, self.follow, self.bytes, self.listen = ALGORITHMS | (algorithms or {}), follow, bytes, listen
         if not self.root.exists():
             raise FileNotFoundError(root)
         if not self.root.is_dir():
@@ -68,6 +75,14 @@ class Repository:
             self.home.mkdir()
         self.settings = IndexSettings(self.home)
 
+    def say(self, message: str, level: int = logging.INFO) -> None:
+        LOG.log(level, "%s: %s", self.root, message)
+        if self.listen:
+            self.listen(message)
+
+    def _digests(self, files: DataFrame, root: str) -> DataFrame:
+        return file_digests(files, root, self.manifest.get("hash-algorithm"), self.algorithms)
+
     @property
     def manifest(self) -> dict[str, str]:
         path = self.home / "manifest.json"
@@ -87,23 +102,35 @@ class Repository:
             shutil.rmtree(self.home / old["version"], ignore_errors=True)
 
     def catalog(self, digests: bool = True) -> DataFrame:
-        """The tree without the index at its top; links named in the settings are followed."""
-        follow = tuple(self.settings.get("index.followed-symlinks", []))
-        return catalog_from_fs(self.spark, str(self.root), "repository", (HOME,), follow, digests=digests)
+        """The tree without the index at its top; links that follow takes, or the settings name, are followed."""
+        return catalog_from_fs(self.spark, str(self.root), "repository", (HOME,), self.followed(), digests=digests, digest_of=self._digests)
+
+    def followed(self) -> tuple[str, ...]:
+        if self.follow is None:
+            return tuple(self.settings.get("index.followed-symlinks", []))
+        links = catalog_from_fs(self.spark, str(self.root), "repository", (HOME,), (), digests=False).where("kind = 'symlink'")
+        return tuple(r["path"] for r in links.select("path", "link_target").toLocalIterator() if self.follow(r["path"], r["link_target"]))
 
-    def rebuild(self) -> None:
-        self._swap(index.assign_ec(index.signatures(self.catalog())), **{"hash-algorithm": "sha256"})
+    def _classes(self, rows: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+        return index.ec_by_bytes(rows, str(self.root), kept) if self.bytes else index.assign_ec(rows)
+
+    def rebuild(self, hash_algorithm: str = "sha256") -> None:
+        algorithm(hash_algorithm, self.algorithms)
+        self.say(f"rebuilding with {hash_algorithm}")
+        self._swap(self.spark.createDataFrame([], "path string, digest string, mtime_ns long, ec_id int"), **{"hash-algorithm": hash_algorithm})
+        self._swap(self._classes(index.signatures(self.catalog()).select("path", "digest", "mtime_ns")))
+        self.say("rebuilt")
 
     def refresh(self, force: bool = False) -> None:
         """Only files that are new or newer than their entry are read."""
-        algorithm(self.manifest.get("hash-algorithm"))
+        algorithm(self.manifest.get("hash-algorithm"), self.algorithms)
+        self.say("refreshing")
         plan = index.refresh_plan(self.signatures(), self.catalog(digests=False), force)
-        again = plan.where("action in ('insert', 'update')").select("path", F.col("new_mtime_ns").alias("mtime_ns"), F.lit(0).alias("ec_id"))
-        from ..functions.digest import file_digests
-
-        read = file_digests(again, str(self.root)).where("digest is not null")
+        again = plan.where("action in ('insert', 'update')").select("path", F.col("new_mtime_ns").alias("mtime_ns"))
+        read = self._digests(again, str(self.root)).where("digest is not null").persist()
         kept = plan.where("action = 'keep'").select("path", F.col("old_digest").alias("digest"), F.col("old_mtime_ns").alias("mtime_ns"), F.col("old_ec_id").alias("ec_id"))
-        self._swap(kept.unionByName(read.select(*index.SIGNATURE)))
+        self._swap(kept.unionByName(self._classes(read, kept).select(*index.SIGNATURE)))
+        self.say("refreshed")
 
     def import_index(self, source: str) -> None:
         """Merges the index of a repository nested in this one, or of one that this one is nested in."""
@@ -113,6 +140,8 @@ class Repository:
             raise ValueError("a repository can't be imported into itself")
         if HOME in b.parts or HOME in a.parts:
             raise ValueError("a repository can't lie within an index")
+        outer, inner = (self, other) if a in b.parents else (other, self)
+        outer.check_reachable(inner.root)
         add = b.relative_to(a).as_posix() if a in b.parents else ""
         strip = a.relative_to(b).as_posix() if b in a.parents else ""
         if not add and not strip:
@@ -120,21 +149,60 @@ class Repository:
         mine, theirs = self.manifest.get("hash-algorithm"), other.manifest.get("hash-algorithm")
         if mine and theirs and mine != theirs:
             raise ValueError(f"hash algorithms differ: {mine}, {theirs}")
-        self._swap(index.import_signatures(self.signatures(), other.signatures(), add, strip), **({"hash-algorithm": mine or theirs} if mine or theirs else {}))
+        classes = index.classes_met(other.signatures(), self.signatures(), str(other.root), str(self.root)) if self.bytes else None
+        self.say(f"importing {source}")
+        self._swap(index.import_signatures(self.signatures(), other.signatures(), add, strip, classes=classes), **({"hash-algorithm": mine or theirs} if mine or theirs else {}))
+
+    def check_reachable(self, inner: Path) -> None:
+        """Raises unless a walk of this repository comes by the inner one: no link on the way that is not followed."""
+        try:
+            way = Path(os.path.abspath(inner)).relative_to(os.path.abspath(self.root))
+        except ValueError:  # it is only within this one by links that lead here
+            raise ValueError(f"{inner} is reached through a link that is not followed") from None
+        at, followed = self.root, None
+        for name in way.parts:
+            at = at / name
+            if not os.path.lexists(at):
+                raise ValueError(f"{at} is not there")
+            if at.is_symlink():
+                followed = set(self.followed()) if followed is None else followed
+                if at.relative_to(self.root).as_posix() not in followed:
+                    raise ValueError(f"{at} is a link that is not followed")
 
     def analyze(self, paths: list[str], rule: MatchRule = MatchRule()) -> list[str]:
         """Writes a report beside each path, in place of an older one. Files that are gone since indexing drop out."""
         if "repository-id" not in self.manifest:
             raise RuntimeError("the index has not been built")
         tree = self.catalog(digests=False)
-        known = tree.drop("digest").join(self.signatures().select("path", "digest"), "path", "left")
+        signed = self.signatures()
+        known = tree.drop("digest").join(signed.select("path", "digest", "ec_id"), "path", "left")
+        there = signed.join(tree.where("kind = 'file'").select("path"), "path", "left_semi")
         reports = []
         for path in paths:
             full = os.path.normpath(os.path.abspath(path))
-            rows = analyze.analyze(catalog_from_fs(self.spark, full, "analyzed", yield_root=True), known, rule)
-            reports.append(write_report(rows, full, self, rule))
+            self.say(f"analysing {full}")
+            analyzed = catalog_from_fs(self.spark, full, "analyzed", yield_root=True, digest_of=self._digests).persist()
+            keys: tuple[str, ...] = ("digest",)
+            if self.bytes:  # a file's class is that whose first file has its bytes
+                heads = index.class_heads(there)
+                pairs = analyzed.where("kind = 'file'").select(F.col("path").alias("left"), "digest").join(heads.withColumnRenamed("head", "right"), "digest")
+                found = with_equal_bytes(pairs, os.path.dirname(full), str(self.root)).groupBy(F.col("left").alias("path")).agg(F.min("ec_id").alias("ec_id"))
+                analyzed, keys = analyzed.join(found, "path", "left").persist(), ("digest", "ec_id")
+            reports.append(write_report(analyze.analyze(analyzed, known, rule, keys), full, self, rule))
+            self.say(f"wrote {reports[-1]}")
         return reports
 
+    def truncate(self) -> None:
+        """Empties the index; its properties stay."""
+        self._swap(self.signatures().limit(0))
+
+    def lookup(self, digest: str) -> dict[int, list[str]]:
+        """The paths of each class of a digest."""
+        out: dict[int, list[str]] = {}
+        for r in index.lookup_classes(self.signatures(), digest).orderBy("ec_id", "path").toLocalIterator():
+            out.setdefault(r["ec_id"], []).append(r["path"])
+        return out
+
     def inspect(self) -> Iterator[str]:
         shown = {k: v for k, v in self.manifest.items() if k != "version"}
         return (r["line"] for r in index.inspect_lines(self.signatures(), shown).toLocalIterator())

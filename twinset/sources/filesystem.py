@@ -1,4 +1,4 @@
-"""A file tree as a catalog: a Python data source that walks below each top-level entry in a task of its own.
+"""A file tree as a catalog: a Python data source that walks below its top entries in tasks of their own.
 
 The tree must be seen by the executors: local mode, or a shared mount. Symbolic links are rows, not followed, except
 those that `follow` names; their targets then stand in their place, unless a hop lies within a boundary, loops or is
@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 import stat
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -81,9 +81,22 @@ def walk(path: str, at: str, root: str, exclude: set[str], follow: set[str], bou
                 continue
 
 
-class _Entry(InputPartition):
-    def __init__(self, path: str, at: str):
-        self.path, self.at = path, at
+#: Entries with which a scan is content, levels that it opens for them, and tasks that they are dealt over at most.
+ENOUGH = 32
+OPEN_LEVELS = 4
+MOST_PARTITIONS = 1024
+
+
+class _Entry:
+    """A place to walk, or alone a directory whose entries are walked by others."""
+
+    def __init__(self, path: str, at: str, alone: bool = False):
+        self.path, self.at, self.alone = path, at, alone
+
+
+class _Entries(InputPartition):
+    def __init__(self, entries: list[_Entry]):
+        self.entries = entries
 
 
 class _Reader(DataSourceReader):
@@ -94,22 +107,41 @@ class _Reader(DataSourceReader):
         self.exclude, self.follow = (set(json.loads(options.get(k, "[]"))) for k in ("exclude", "follow"))
 
     def _entries(self) -> list[_Entry]:
+        """Top-level entries; where they are few, directories are opened level by level: a row each, and their entries."""
         if not os.path.isdir(self.top):
             return [_Entry(os.path.basename(self.top), self.top)]
         lead = self.base + "/" if self.base else ""
-        return [_Entry(lead + n, os.path.join(self.top, n)) for n in sorted(os.listdir(self.top))]
+        opened, last = [], [_Entry(lead + n, os.path.join(self.top, n)) for n in sorted(os.listdir(self.top))]
+        for _ in range(OPEN_LEVELS):
+            plain = [e for e in last if e.path not in self.exclude and not os.path.islink(e.at) and os.path.isdir(e.at)]
+            if not plain or len(opened) + len(last) >= ENOUGH:
+                break
+            inner = []
+            for e in plain:
+                try:
+                    inner += [_Entry(f"{e.path}/{n}", os.path.join(e.at, n)) for n in sorted(os.listdir(e.at))]
+                except OSError:
+                    continue
+            kept = {e.path for e in plain}
+            opened += [e for e in last if e.path not in kept] + [_Entry(e.path, e.at, alone=True) for e in plain]
+            last = inner
+        return [*opened, *last]
 
     def partitions(self) -> list[_Entry]:
-        top = [_Entry("", self.top)] if self.base and os.path.isdir(self.top) else []
-        return [*top, *self._entries()] or [_Entry("", "")]
-
-    def read(self, partition: _Entry) -> Iterator[tuple]:
-        if partition.path:
-            yield from walk(partition.path, partition.at, self.name, self.exclude, self.follow, [self.top])
-        elif partition.at:
-            row = row_of(self.base, partition.at, self.name)
-            if row:
-                yield row
+        entries = self._entries()
+        if self.base and os.path.isdir(self.top):
+            entries.insert(0, _Entry(self.base, self.top, alone=True))
+        n = min(len(entries), MOST_PARTITIONS)
+        return [_Entries(entries[i::n]) for i in range(n)] or [_Entries([])]
+
+    def read(self, partition: _Entries) -> Iterator[tuple]:
+        for e in partition.entries:
+            if not e.alone:
+                yield from walk(e.path, e.at, self.name, self.exclude, self.follow, [self.top])
+            elif e.path not in self.exclude:
+                row = row_of(e.path, e.at, self.name)
+                if row:
+                    yield row
 
 
 class FileTree(DataSource):
@@ -126,13 +158,14 @@ class FileTree(DataSource):
         return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
-def catalog_from_fs(spark: SparkSession, top: str, root: str = "repository", exclude: tuple[str, ...] = (), follow: tuple[str, ...] = (), yield_root: bool = False, digests: bool = True) -> DataFrame:
-    """The catalog of a directory, or of a single file. With yield_root, paths start with the directory's own name."""
+def catalog_from_fs(spark: SparkSession, top: str, root: str = "repository", exclude: tuple[str, ...] = (), follow: tuple[str, ...] = (), yield_root: bool = False, digests: bool = True, digest_of: Callable[[DataFrame, str], DataFrame] = file_digests) -> DataFrame:
+    """The catalog of a directory, or of a single file. With yield_root, paths start with the directory's own name.
+    digest_of: adds the digest to files below a directory."""
     spark.dataSource.register(FileTree)
     reader = spark.read.format("filetree").option("path", top).option("root", root).option("yieldRoot", str(yield_root).lower())
     rows = reader.option("exclude", json.dumps(exclude)).option("follow", json.dumps(follow)).load()
     if not digests:
         return rows
     base = os.path.dirname(os.path.abspath(top)) if yield_root or not os.path.isdir(top) else os.path.abspath(top)
-    files = file_digests(rows.where("kind = 'file'"), base)
+    files = digest_of(rows.where("kind = 'file'"), base)
     return rows.where("kind <> 'file'").unionByName(files.select(*COLUMNS))
