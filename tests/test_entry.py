@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from twinset.plans import doccat
 
 DATA = "/root/testdata/sf0.001"
-CHOSEN = ["catalog", "ec_ids_weak_hash", "file_matches", "dir_match_flags", "dir_records", "describe_children_dup_size", "difftree_depth3", "refresh_apply", "import_nested", "inspect_lines"]
+CHOSEN = ["catalog", "ec_ids_weak_hash", "file_matches", "dir_match_flags", "dir_records", "describe_children_dup_size", "difftree_depth3", "refresh_apply", "import_nested", "inspect_lines", "describe_rows", "special_items", "special_totals", "pages_article_dup", "conversations_shape_dup"]
 
 
 def test_every_reference_query_has_sql():
@@ -26,5 +26,10 @@ def test_same_rows_as_sql(spark, name):
     assert sorted(str([r[c] for c in columns]) for r in got.collect()) == expected
 
 
+@pytest.mark.parametrize("name", ["special_items", "pages_article_dup", "conversations_shape_dup"])
+def test_there_are_rows(spark, name):
+    assert doccat.queries()[name](spark, DATA).count() > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

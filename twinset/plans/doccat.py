@@ -104,13 +104,31 @@ class _Case:
         self.spark, self.dir = spark, sf_dir
         self.a, self.r = (t.persist() for t in doccat(spark, sf_dir))
 
+    @cached_property
+    def special(self) -> tuple[DataFrame, DataFrame]:
+        """The catalogs with a link, a pipe or a device beside some files, told by digits of the digest; link targets and
+        device numbers agree on both sides for some and depend on the side for others."""
+
+        def more(t: DataFrame) -> DataFrame:
+            digit = lambda i: F.conv(F.substring("digest", i, 1), 16, 10).cast("int")
+            side = (F.col("root") == "analyzed").cast("int")
+            files = t.where("kind = 'file'").withColumn("own", F.when(digit(15) < 8, side).otherwise(0))
+            kinds = [("symlink", ".lnk", digit(14) < 5), ("fifo", ".pipe", digit(14).between(5, 8)), ("blk", ".dev", digit(14).between(9, 12))]
+            for kind, ending, met in kinds:
+                rows = files.where(met).withColumns({"path": F.concat("path", F.lit(ending)), "kind": F.lit(kind), "size": F.lit(0).cast("long"), "digest": F.lit(None).cast("string")})
+                rows = rows.withColumn("link_target", F.when(F.lit(kind == "symlink"), F.concat(F.lit("t"), F.col("own").cast("string"))))
+                rows = rows.withColumns({"rdev_major": F.when(F.lit(kind == "blk"), F.lit(8)), "rdev_minor": F.when(F.lit(kind == "blk"), F.col("own"))})
+                t = t.unionByName(rows.select(*t.columns))
+            return t
+
+        return more(self.a).persist(), more(self.r).persist()
+
     def files(self, rule: MatchRule = MatchRule()) -> DataFrame:
         return analyze.file_matches(self.a, self.r, rule)
 
     @cached_property
     def found(self) -> tuple[DataFrame, DataFrame]:
-        files = self.files()
-        return files, analyze.dir_matches(self.a, self.r, files)
+        return self.files(), analyze.dir_matches(self.a, self.r, analyze.same_name_matches(self.a, self.r))
 
     def dirs(self) -> DataFrame:
         return self.found[1]
@@ -118,11 +136,14 @@ class _Case:
     def matches(self) -> DataFrame:
         return self.found[0].unionByName(self.found[1])
 
+    def listed(self) -> DataFrame:
+        return analyze.records(self.a, self.r, *self.found, analyze.matched_files(self.a, self.r))
+
     def records(self) -> DataFrame:
-        return analyze.records(self.a, self.r, *self.found).withColumn("n_duplicates", F.size("duplicates").cast("long")).select(*FLAT)
+        return self.listed().withColumn("n_duplicates", F.size("duplicates").cast("long")).select(*FLAT)
 
     def nodes(self) -> DataFrame:
-        return difftree.node_status(self.a, self.r, self.matches(), self.records(), "docs/k1", "k1")
+        return difftree.compare(self.a, self.r, "docs/k1", "k1")
 
     def signed(self) -> DataFrame:
         return index.assign_ec(index.signatures(self.r)).select(*index.SIGNATURE)
@@ -162,12 +183,43 @@ def _diff(c: _Case) -> DataFrame:
 
 
 def _exact(table: str, keys: list[str], text: str, c: _Case) -> DataFrame:
-    rows = c.spark.read.parquet(f"{c.dir}/{table}.parquet")
+    return _grouped(c.spark.read.parquet(f"{c.dir}/{table}.parquet"), keys, text)
+
+
+def _grouped(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     ident = F.concat_ws("-", *[F.lpad(F.col(k).cast("string"), 12, "0") for k in keys])
     per = rows.groupBy(F.sha2(text, 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(ident)), "|").alias("ids"))
     return per.where("n > 1")
 
 
+def _articles(c: _Case) -> DataFrame:
+    """Pages with equal articles, whatever stands around them."""
+    pages = c.spark.read.parquet(f"{c.dir}/pages.parquet").select("page_id", F.regexp_extract("html", "(?s)<article>.*</article>", 0).alias("article"))
+    return _grouped(pages, ["page_id"], "article")
+
+
+def _shapes(c: _Case) -> DataFrame:
+    """Conversations with the same roles in turn."""
+    turns = c.spark.read.parquet(f"{c.dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return _grouped(turns.select("conv_id", F.array_join("t.role", ",").alias("roles")), ["conv_id"], "roles")
+
+
+def special_items(c: _Case) -> DataFrame:
+    """Links, pipes and devices that are found at their place in a matched directory."""
+    a, r = c.special
+    pairs = analyze.directory_pairs(c.files())
+    found = analyze.deferred_items(pairs, a, r, analyze.deferred_children(a, pairs)).where("items > 0")
+    return found.select("d", "e", F.col("x").alias("path"), "mtime_match", "mode_match", "owner_match")
+
+
+def special_totals(c: _Case) -> DataFrame:
+    """Totals where links, pipes and devices are items too."""
+    a, r = c.special
+    files = c.files()
+    pairs = analyze.directory_pairs(files).withColumnsRenamed({"d": "path", "e": "dup_path"})
+    return analyze._with_special(analyze.dir_totals(a, files), a, r, pairs)
+
+
 def _ancestor(c: _Case) -> DataFrame:
     source = index.assign_ec(index.signatures(c.a)).select(*index.SIGNATURE)
     return index.import_signatures(c.signed(), source, prefix_strip="docs")
@@ -218,6 +270,22 @@ rp AS (SELECT coalesce(s.path, l.path) AS path, CASE WHEN l.path IS NULL THEN 'd
               s.digest AS old_digest, s.mtime_ns AS old_mtime_ns, s.ec_id AS old_ec_id, l.digest AS digest, l.mtime_ns AS new_mtime_ns FROM sig s FULL JOIN later l ON s.path = l.path)"""
 
 
+_SPECIAL = """,
+sf AS (SELECT *, CAST(('0x' || substr(digest, 14, 1)) AS INTEGER) AS h, CASE WHEN CAST(('0x' || substr(digest, 15, 1)) AS INTEGER) < 8 THEN side ELSE 0 END AS own FROM files),
+sp AS (SELECT side, path || CASE WHEN h < 5 THEN '.lnk' WHEN h < 9 THEN '.pipe' ELSE '.dev' END AS path, CASE WHEN h < 5 THEN 'symlink' WHEN h < 9 THEN 'fifo' ELSE 'blk' END AS kind,
+              CASE WHEN h BETWEEN 5 AND 8 THEN 0 ELSE own END AS told, mtime_ns, mode, uid, p FROM sf WHERE h < 13),
+near AS (SELECT s.path, max(len(m.d)) AS n FROM (SELECT * FROM sp WHERE side = 1) s JOIN (SELECT DISTINCT d FROM m) m ON starts_with(s.path, m.d || '/') GROUP BY s.path),
+met AS (SELECT m.d, m.e, a.path, a.mtime_ns = r.mtime_ns AS mtime_match, a.mode = r.mode AS mode_match, a.uid = r.uid AS owner_match
+        FROM near JOIN sp a ON a.path = near.path AND a.side = 1 JOIN m ON m.d = substr(a.path, 1, n)
+        JOIN sp r ON r.side = 0 AND r.path = m.e || substr(a.path, n + 1) AND r.kind = a.kind AND r.told = a.told)"""
+_SPECIAL_TOTALS = """,
+items AS (SELECT path, size, p, path IN (SELECT path FROM fm) AS hit FROM files WHERE side = 1 UNION ALL SELECT path, 0, p, false FROM sp WHERE side = 1),
+more AS (SELECT array_to_string(string_split(d, '/')[1:k], '/') AS path, count(*) AS more FROM (SELECT DISTINCT d, path AS x FROM met), ks WHERE k <= len(string_split(d, '/')) GROUP BY 1),
+st AS (SELECT array_to_string(p[1:k], '/') AS path, CAST(sum(size) AS BIGINT) AS total_size, count(*) AS total_items, CAST(sum(CASE WHEN hit THEN size ELSE 0 END) AS BIGINT) AS duplicated_size,
+              CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM items, ks WHERE k < len(p) GROUP BY 1)
+SELECT path, total_size, total_items, duplicated_size, hits + coalesce(more, 0) AS duplicated_items FROM st LEFT JOIN more USING (path)"""
+
+
 def _import_sql(path: str) -> str:
     return _SQL + f""",
 moved AS (SELECT {path} AS path, digest, mtime_ns FROM files WHERE side = 1),
@@ -251,10 +319,10 @@ TABLE: dict[str, tuple[Callable[[_Case], DataFrame], str]] = {
     "file_matches_rule_all": (lambda c: c.files(ALL), _SQL + _FP_ALL),
     "unmatched_files": (lambda c: analyze.unmatched_files(c.a, c.r).select("path", "size"), _SQL + _FM + " SELECT path, size FROM files WHERE side = 1 AND path NOT IN (SELECT path FROM fm)"),
     "file_records": (lambda c: c.files().groupBy("path").agg(F.max("duplicated_size").alias("total_size"), F.count(F.lit(1)).alias("n_duplicates")), _SQL + _FM + " SELECT path, max(duplicated_size) AS total_size, count(*) AS n_duplicates FROM fm GROUP BY path"),
-    "dir_pairs": (lambda c: analyze.directory_pairs(c.files()), _SQL + _FM + _DM + " SELECT d, e FROM m"),
+    "dir_pairs": (lambda c: analyze.directory_pairs(analyze.same_name_matches(c.a, c.r)), _SQL + _FM + _DM + " SELECT d, e FROM m"),
     "dir_matches": (lambda c: c.dirs().select("path", "dup_path", "duplicated_size", "duplicated_items"), _SQL + _FM + _DM + " SELECT path, dup_path, duplicated_size, duplicated_items FROM dm"),
     "dir_match_flags": (lambda c: c.dirs(), _SQL + _FM + _DM + f" SELECT {_MATCH} FROM dm"),
-    "dir_totals": (lambda c: analyze.dir_totals(c.a, c.files()), _SQL + _FM + _TOT + " SELECT * FROM tot"),
+    "dir_totals": (lambda c: analyze.dir_totals(c.a, analyze.matched_files(c.a, c.r)), _SQL + _FM + _TOT + " SELECT * FROM tot"),
     "dir_records": (lambda c: c.records(), _SQL + _FM + _DM + _TOT + _ALLM + _REC + f" SELECT {', '.join(FLAT)} FROM rec"),
     **{f"describe_top_{s}": (partial(_top, s), _SQL + _FM + _DM + _ALLM + f" SELECT * FROM (SELECT path, dup_path, CAST(row_number() OVER (PARTITION BY path ORDER BY {o}, string_split(dup_path, '/')) AS INTEGER) AS place, duplicated_size, duplicated_items FROM rk) WHERE place <= 2") for s, o in _ORDER.items()},
     **{
@@ -284,6 +352,18 @@ TABLE: dict[str, tuple[Callable[[_Case], DataFrame], str]] = {
         _SQL + " SELECT 'manifest-property hash-algorithm sha256' AS line UNION ALL SELECT 'file-hash ' || digest || ' ec_id:0 ' || path FROM files WHERE side = 0 UNION ALL SELECT 'file-metadata ' || path || ' digest:' || digest || ' mtime:' || strftime(make_timestamp(mtime_ns // 1000), '%Y-%m-%dT%H:%M:%S.%f') || 'Z ec_id:0' FROM files WHERE side = 0",
     ),
     "metadata_diff": (_diff, _SQL + " SELECT path, dup_path, t AS type, x AS a_ns, y AS b_ns FROM (" + " UNION ALL ".join(f"SELECT a.path, r.path AS dup_path, '{t}' AS t, a.{t}_ns AS x, r.{t}_ns AS y FROM a JOIN r ON a.digest = r.digest" for t in ("atime", "ctime", "mtime")) + ") WHERE x <> y"),
+    "describe_rows": (
+        lambda c: describe.describe_rows(c.a.select("path", "kind"), c.listed()).select("path", "kind", "in_report", "best_size", "best_rank", "size_ratio", "items_ratio", "max_ratio"),
+        _SQL + _FM + _DM + _TOT + _ALLM + _REC + f""",
+bm AS (SELECT * FROM (SELECT path, duplicated_size AS best_size, rank_ AS best_rank, row_number() OVER (PARTITION BY path ORDER BY {_ORDER["size"]}, string_split(dup_path, '/')) AS i FROM rk) WHERE i = 1)
+SELECT a.path, kind, rec.path IS NOT NULL AS in_report, best_size, best_rank, CASE WHEN total_size > 0 THEN duplicated_size / total_size ELSE 0.0 END AS size_ratio,
+       CASE WHEN total_items > 0 THEN duplicated_items / total_items ELSE 0.0 END AS items_ratio, CASE WHEN total_size > 0 THEN best_size / total_size ELSE 0.0 END AS max_ratio
+FROM a LEFT JOIN rec ON rec.path = a.path LEFT JOIN bm ON bm.path = a.path""",
+    ),
+    "special_items": (special_items, _SQL + _FM + _DM + _SPECIAL + " SELECT d, e, path, mtime_match, mode_match, owner_match FROM met"),
+    "special_totals": (special_totals, _SQL + _FM + _DM + _SPECIAL + _SPECIAL_TOTALS),
+    "pages_article_dup": (_articles, "SELECT * FROM (SELECT sha256(x) AS digest, count(*) AS n, string_agg(i, '|' ORDER BY i) AS ids FROM (SELECT lpad(CAST(page_id AS VARCHAR), 12, '0') AS i, regexp_extract(html, '(?s)<article>.*</article>') AS x FROM pages) GROUP BY 1) WHERE n > 1"),
+    "conversations_shape_dup": (_shapes, "SELECT * FROM (SELECT sha256(x) AS digest, count(*) AS n, string_agg(i, '|' ORDER BY i) AS ids FROM (SELECT lpad(CAST(conv_id AS VARCHAR), 12, '0') AS i, string_agg(role, ',' ORDER BY turn) AS x FROM conversations GROUP BY conv_id) GROUP BY 1) WHERE n > 1"),
     "pages_exact_dup": (partial(_exact, "pages", ["page_id"], "html"), _exact_sql("pages", ["page_id"], "html")),
     "conversations_exact_dup": (partial(_exact, "conversations", ["conv_id", "turn"], "text"), _exact_sql("conversations", ["conv_id", "turn"], "text")),
     "documents_exact_dup": (partial(_exact, "documents", ["doc_id"], "text"), _exact_sql("documents", ["doc_id"], "text")),
