@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import per_worker, slices, stored
+from .common import per_worker, slices, stored, trimmed
 
 Pattern = tuple[tuple[int, int], ...]  # (length, items of it), longest first
 
@@ -283,7 +283,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: i
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids array<int>" * ids_too
-    pieces = stored(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end, ids_too), schema), "pieces")
+    pieces = stored(docs.select("doc_id", "text").mapInArrow(trimmed(_pieces(tokenizer, capacity, end, ids_too)), schema), "pieces")
     # a piece's number among all of its length: its number in the task plus the pieces of earlier tasks
     per_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, if_small, slices, stored, text_key
+from .common import free_name, free_shuffles, if_small, slices, stored, text_key, trimmed
 from .graph import components
 from .hashing import gram_set, word_hashes
 
@@ -87,7 +87,7 @@ def _fingerprints(width: int, bits: int):
 def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64) -> DataFrame:
     """The columns of docs but text, and the fingerprint as longs f0, f1, ... of 64 bits each."""
     others = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    return docs.mapInArrow(_fingerprints(width, bits), others + "".join(f", f{k} long" for k in range(bits // 64)))
+    return docs.mapInArrow(trimmed(_fingerprints(width, bits)), others + "".join(f", f{k} long" for k in range(bits // 64)))
 
 
 def shared_bytes(a: list[Column], b: list[Column]) -> Column:
@@ -221,8 +221,8 @@ PRINT_WIDTH = 3
 #: Bits in which a pair may differ. Where a share s of the shingles of three words is common, some acos(s) / pi of the bits
 #: differ: 39 of 256 at five-word similarity 0.8 if a block is appended (s = 0.89), 128 in texts that have nothing in common.
 MOST_BITS = 96
-#: In lists of shingles, the first 64 bits of the fingerprints alone are compared, by a bound as generous.
-MOST_FIRST_BITS = 24
+#: In lists of shingles, the first 128 bits of the fingerprints alone are compared, by a bound of six standard deviations.
+MOST_FIRST_BITS = 43
 #: Bits of a set's parities: bit i is the parity of the number of its shingles whose hash ends in i.
 PARITIES = 256
 #: One in so many texts is counted for the order; shingles that so many of these have count as common, so many at most.
@@ -244,7 +244,7 @@ def _distinct(width: int):
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of shingles that many of docs (key, text) have, and how often they are met in one of COUNTED texts."""
     part = docs.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0).dropDuplicates(["key"])
-    counts = part.select("text").mapInArrow(_distinct(width), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = part.select("text").mapInArrow(trimmed(_distinct(width)), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     top = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toPandas()
     grams, n = top["gram"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(grams)
@@ -287,25 +287,44 @@ def _post(width: int, threshold: float, common: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for part in slices(batch):
-                nodes, texts = part.column("node").to_pylist(), part.column("text")
-                new = [i for i, n in enumerate(nodes) if n not in seen and not seen.add(n)]
-                found = [gram_set(word_hashes(texts[i].as_py(), True), width).tobytes() for i in new]
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in new], pa.int64()), pa.array(found, pa.binary())], names=["node", "grams"])
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, packed): compressed texts, a third of the bytes of their shingles' hashes; of equal texts one a task."""
+    import zstandard
+
+    seen: set[int] = set()
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        for part in slices(batch):
+            nodes, texts = part.column("node").to_pylist(), part.column("text")
+            new = [i for i, n in enumerate(nodes) if n not in seen and not seen.add(n)]
+            found = [pack((texts[i].as_py() or "").encode()) for i in new]
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in new], pa.int64()), pa.array(found, pa.binary())], names=["node", "packed"])
 
-    return run
 
+#: Sets of shingles that a task keeps.
+KEPT = 64
+
+
+def _jaccard(width: int, threshold: float):
+    """The rows (u, v, x, y), x and y being their packed texts, that have the similarity, as (u, v)."""
 
-def _jaccard(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        known: dict[int, np.ndarray] = {}
+
+        def grams(node: int, packed) -> np.ndarray:
+            if node not in known:
+                if len(known) >= KEPT:
+                    known.pop(next(iter(known)))
+                known[node] = gram_set(word_hashes(unpack(packed.as_py()).decode(), True), width)
+            return known[node]
+
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for u, v, a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("x"), batch.column("y")):
+                x, y = grams(u, a), grams(v, b)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= threshold * (len(x) + len(y) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -333,7 +352,8 @@ def _alike(a: str, b: str, threshold: float) -> Column:
 
 
 #: What lists of shingles hold of a sketch.
-BRIEF = ["f0", *P4, "n"]
+FIRST = F4[:2]
+BRIEF = [*FIRST, *P4, "n"]
 
 
 def _brief(at: str) -> Column:
@@ -341,7 +361,8 @@ def _brief(at: str) -> Column:
 
 
 def _briefly_alike(a: str, b: str, threshold: float) -> Column:
-    return (differing_bits([F.col(f"{a}.f0")], [F.col(f"{b}.f0")]) <= MOST_FIRST_BITS) & _apart(a, b, threshold)
+    x, y = ([F.col(f"{at}.{c}") for c in FIRST] for at in (a, b))
+    return (differing_bits(x, y) <= MOST_FIRST_BITS) & _apart(a, b, threshold)
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -369,7 +390,7 @@ def _sketches(width: int):
 def numbered(docs: DataFrame, width: int) -> DataFrame:
     """docs: (key, text). (node, key, times, fp): each different text with a number, its rows, and a struct of its
     fingerprint f0.., the parities p0.. of its set of `width`-word shingles, and the size n of that."""
-    prints = stored(docs.select("key", "text").mapInArrow(_sketches(width), "key binary, " + ", ".join(f"{c} long" for c in SKETCH)), "wide")
+    prints = stored(docs.select("key", "text").mapInArrow(trimmed(_sketches(width)), "key binary, " + ", ".join(f"{c} long" for c in SKETCH)), "wide")
     each = prints.groupBy("key").agg(*[F.first(c).alias(c) for c in SKETCH], F.count(F.lit(1)).alias("times"))
     return stored(each.select(F.monotonically_increasing_id().alias("node"), "key", "times", F.struct(*SKETCH).alias("fp")), "nodes")
 
@@ -405,9 +426,11 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, th
     """The pairs of nodes (node, key) whose texts in docs (key, text) have Jaccard similarity >= threshold."""
     ends = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "key"), "node"), "ends")
     texts = docs.select("key", "text").join(if_small(ends), "key").select("node", "text")
-    sets = stored(texts.mapInArrow(_sets(width), "node long, grams binary").dropDuplicates(["node"]), "grams")
-    x, y = (sets.select(F.col("node").alias(at), F.col("grams").alias(g)) for at, g in (("u", "x"), ("v", "y")))
-    return stored(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_jaccard(threshold), "u long, v long"), "verified")
+    packed = stored(texts.mapInArrow(trimmed(_packed), "node long, packed binary").dropDuplicates(["node"]), "packed")
+    x, y = (packed.select(F.col("node").alias(at), F.col("packed").alias(p)) for at, p in (("u", "x"), ("v", "y")))
+    out = stored(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(trimmed(_jaccard(width, threshold)), "u long, v long"), "verified")
+    free_shuffles(docs.sparkSession)
+    return out
 
 
 def crowded(postings: DataFrame) -> DataFrame:
@@ -460,11 +483,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     shared = groups.select("node").distinct().withColumn("linked", F.lit(True))
     labelled = sizes.join(shared, "node", "left").select("key", "node", "root", ((F.col("times") > 1) | F.coalesce("linked", F.lit(False))).alias("several"))
     own = texts.join(if_small(stored(labelled, "labelled")), "key").select("node", "root", "several", "text")
-    posted = stored(own.mapInArrow(_post(width, threshold, common_shingles(texts, width)), "key long, node long, root long, several boolean"), "postings")
+    posted = stored(own.mapInArrow(trimmed(_post(width, threshold, common_shingles(texts, width))), "key long, node long, root long, several boolean"), "postings")
     # a text that is no copy has one row for each of its lists; rows of copies become one for each group and list
     alone = posted.where("not several").select("key", "root", "node")
     together = posted.where("several").groupBy("key", "root").agg(F.min("node").alias("node"))
     entries = stored(crowded(alone.unionByName(together)), "entries")
+    free_shuffles(texts.sparkSession)
     tried = None
     while True:
         pairs = first_pairs(entries, prints, threshold)
