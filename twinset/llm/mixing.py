@@ -235,7 +235,7 @@ def mixed_documents(docs: DataFrame, weights: list[float], limit: float = 3.0) -
     ids = ["doc_id", "source", "size"]
     of = {c: free_name(docs, f"_of_{c}") for c in ids}
     plan = stored(planned(docs, weights, limit).where("low > 0 or more > 0"), "plan")
-    plan = plan.select(*[F.col(c).alias(of[c]) for c in ids], F.col("low").alias(low), F.col("more").alias(more), F.col("n").alias(n))
+    plan = if_small(plan.select(*[F.col(c).alias(of[c]) for c in ids], F.col("low").alias(low), F.col("more").alias(more), F.col("n").alias(n)))
     left = docs.withColumn(size, n_words_of(F.col("text")))
     on = F.col("doc_id").eqNullSafe(F.col(of["doc_id"])) & F.col("source").eqNullSafe(F.col(of["source"])) & (F.col(size) == F.col(of["size"]))
     joined = left.join(plan, on)

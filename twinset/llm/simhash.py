@@ -489,9 +489,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     together = posted.where("several").groupBy("key", "root").agg(F.min("node").alias("node"))
     entries = stored(crowded(alone.unionByName(together)), "entries")
     free_shuffles(texts.sparkSession)
-    tried = None
+    tried, open_lists = None, entries
     while True:
-        pairs = first_pairs(entries, prints, threshold)
+        pairs = first_pairs(open_lists, prints, threshold)
         pairs = stored(pairs.join(tried, ["u", "v"], "left_anti") if tried is not None else pairs, "firsts")
         if pairs.isEmpty():
             break
@@ -501,8 +501,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
             break
         edges = edges.unionByName(links)
         groups = components(edges)
-        moved = _rooted(entries.select("key", "node", F.col("root").alias("was")), groups, "was")
+        moved = stored(_rooted(entries.select("key", "node", F.col("root").alias("was")), groups, "was"), "moved")
         entries = stored(crowded(moved.groupBy("key", "root").agg(F.min("node").alias("node"))), "entries")
+        # a list whose groups are as they were has no new pair
+        changed = stored(moved.where("was <> root").select("key").distinct(), "changed")
+        open_lists = entries.join(if_small(changed), "key", "left_semi")
     left = stored(entries.select("key").distinct(), "left")
     if left.isEmpty():
         return nodes.select("node", "key"), groups
