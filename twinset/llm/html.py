@@ -533,10 +533,10 @@ def host_of(url):
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, rule, expression of every host of pages (url, html). Pages without a host's name share one wrapper."""
     hosted = pages.select(host_of(F.col("url")).alias("host"), "html")
-    partial = hosted.mapInArrow(_infer, "host string, turn int, wrapper string")
+    partial = hosted.mapInArrow(_infer, "host string, turn long, wrapper string")
     # a host in many tasks is first merged in TURNS parts
     parts = partial.withColumn("turn", F.pmod("turn", F.lit(TURNS))).repartition("host", "turn").sortWithinPartitions("host", "turn", "wrapper")
-    dealt = parts.mapInPandas(_align(False), "host string, turn int, wrapper string").repartition("host").sortWithinPartitions("host", "wrapper")
+    dealt = parts.mapInPandas(_align(False), "host string, turn long, wrapper string").repartition("host").sortWithinPartitions("host", "wrapper")
     return stored(dealt.mapInPandas(_align(True), "host string, rule string, expression string"), "wrappers")
 
 
