@@ -1,15 +1,19 @@
 """The operators' methods against brute force, and the pipeline's stages on rows that are not as they should be."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from twinset.llm import html, lines, mixing, packing, registry, simhash, substring
+from twinset.llm import html, lines, mixing, neighbours, packing, registry, simhash, substring
 from twinset.llm.common import text_key
 
 
@@ -293,3 +297,25 @@ def test_same_rows_as_sql(spark, name):
     got = registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert sorted(names) == sorted(got.columns)
     assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, cursor.fetchall()))
+
+
+_SAMPLING = """
+from pyspark.sql import SparkSession, functions as F
+from twinset.llm import neighbours
+spark = SparkSession.builder.master("local[4]").config("spark.driver.maxResultSize", "10m").config("spark.ui.enabled", "false").getOrCreate()
+spark.conf.set("spark.sql.shuffle.partitions", "4")
+rows = spark.range(0, 120000, 1, 12).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.rand(5) + i * F.rand(6)).alias("embedding"))
+assert neighbours.search(rows, lambda i: i % 30000 == 0, 5).count() == 20
+"""
+
+
+def test_sampling_sends_the_driver_no_more_than_the_sample():
+    subprocess.run([sys.executable, "-c", _SAMPLING], check=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+
+
+def test_sample_has_the_least_hashes(spark):
+    rows = spark.range(0, 3000, 1, 7).select((F.col("id") % 2500).alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    want = [r["vec_id"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(100).collect()]
+    assert [int(v[0]) % 2500 for v in neighbours.sampled(rows, 3000, 100)] == want
+    alike = rows.withColumn("vec_id", F.lit(7).cast("long"))
+    assert neighbours.sampled(alike, 3000, 100).shape == (100, 2) and neighbours.sampled(rows, 3000).shape == (3000, 2)

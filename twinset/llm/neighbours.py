@@ -51,7 +51,7 @@ def _means(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 def _nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     half = (centroids**2).sum(1) / 2
-    return np.concatenate([(points[i : i + 8192] @ centroids.T - half).argmax(1) for i in range(0, len(points), 8192)] or [np.zeros(0, int)])
+    return np.concatenate([(points[i : i + 1024] @ centroids.T - half).argmax(1) for i in range(0, len(points), 1024)] or [np.zeros(0, int)])
 
 
 class Model:
@@ -79,7 +79,7 @@ class Model:
         """The least number of probed lists that hold the share `held` of the exact neighbours of TRIALS sample rows,
         within the sample. Neighbours in all rows are nearer than those in a sample, so this errs on the large side."""
         asked = sample[:TRIALS]
-        near = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, : k + 1]
+        near = np.concatenate([np.argsort(-(asked[i : i + 32] @ sample.T), axis=1, kind="stable")[:, : k + 1] for i in range(0, len(asked), 32)])
         rank = np.argsort(self.probes(asked, self.lists), axis=1)
         places = np.take_along_axis(rank, _nearest(sample, self.centroids)[near], 1)
         return int(np.quantile(places, held, method="higher")) + 1
@@ -177,6 +177,21 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return fine.where(F.size("vector") == (usual["d"] if usual else 0))
 
 
+def sampled(rows: DataFrame, n: int, most: int = SAMPLE) -> np.ndarray:
+    """The vectors of the `most` of n rows (vec_id, vector) whose ids have the least hashes, in that order.
+
+    Rows beyond a bound on the hash go first, and the rest is sorted by executors: a sort with a limit that is collected
+    sends `most` rows of every partition to the driver.
+    """
+    hashed, share = rows.withColumn("hash", F.xxhash64("vec_id")), 1.1 * most / n
+    few = hashed.where(F.col("hash") <= F.lit(int(2**64 * share) - 2**63)) if share < 1 else hashed
+    if share < 1 and few.count() < most:  # ids that repeat have one hash
+        few = hashed
+    least = stored(few.orderBy("hash", "vec_id").limit(most), "sample").toArrow()
+    vectors = least["vector"].combine_chunks().flatten().to_numpy().reshape(least.num_rows, -1)
+    return vectors[np.lexsort((least["vec_id"].to_numpy(), least["hash"].to_numpy()))]
+
+
 def search(vectors: DataFrame, queries, k: int = 20, held: float = HELD, vec_id: str = "vec_id", vector: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that meets `queries` (a function of the id column), the k rows with
     the largest inner product, itself left out, ties to smaller ids. Rows with the query's own id count as itself.
@@ -189,8 +204,7 @@ def search(vectors: DataFrame, queries, k: int = 20, held: float = HELD, vec_id:
     out = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], out)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
-    points = np.array([r["vector"] for r in sample], dtype=np.float64)
+    points = sampled(rows, n)
     model = Model(points, n)
     index = stored(rows.mapInPandas(_index(model), "list int, vec_id long, vector binary, code binary"), "index")
     probes = model.enough(points, k, held)
