@@ -84,6 +84,36 @@ def test_texts_that_their_least_text_does_not_link(spark):
     assert len({r["doc_id"] for r in got}) >= 0.97 * len(rows)
 
 
+@pytest.mark.parametrize("kind", ["put in", "left out", "changed"])
+def test_near_paragraphs_around_common_runs_are_found(spark, kind):
+    rng = random.Random(25)
+    before, after, rows = words(rng, 20), words(rng, 24), []
+    for k in range(60):
+        own = before + words(rng, 7) + after
+        other = list(own)
+        other[20 : 20 + (kind != "put in")] = [] if kind == "left out" else ["new"]
+        rows += [(2 * k, " ".join(words(rng, 20) + own + words(rng, 20))), (2 * k + 1, " ".join(words(rng, 9) + other + words(rng, 30)))]
+    got = substring.duplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    of = {r["doc_id"]: r["cluster_id"] for r in got}
+    assert sum(of.get(2 * k) == of.get(2 * k + 1) == 2 * k for k in range(60)) >= 57
+
+
+def test_signatures_meet_where_paragraphs_repeat():
+    rng = random.Random(26)
+    met = 0
+    for _ in range(40):
+        a = words(rng, rng.randint(50, 60))
+        b = edited(rng, a, [rng.choice(["put in", "left out", "changed"])])
+        near = paragraphs(a, b)
+        numbers = {w: i + 1 for i, w in enumerate(dict.fromkeys([*a, *b]))}
+        x, y = (np.array([numbers[w] for w in t], dtype=np.uint64) for t in (a, b))
+        every = lambda t: np.arange(len(t))
+        hashes = [set(substring.signatures(t, every(t), np.ones(len(t), bool))[0].tolist()) for t in (x, y)]
+        met += bool(near)
+        assert not near or hashes[0] & hashes[1]
+    assert met > 20
+
+
 def test_cut_passages(spark):
     rng = random.Random(24)
     own = text(rng, 80)

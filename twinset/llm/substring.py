@@ -8,10 +8,11 @@ it on and the words before it, KEY words each, so that common short lines meet n
 Texts that meet are paired with the least text of their key, and of its parts whose next or previous words agree over
 39 words: in any two equal paragraphs one of those runs lies within, and pairs grow in proportion to occurrences. A pair
 of paragraphs, beside each other at the distance of the anchors, repeats if the exact Jaccard similarity of their sets of
-shingles is at least SIMILAR, words put in or left out between them included. In lists where the least text shares no
-paragraph with another, all texts are paired if they are at most PAIRED; in longer ones, where another has the 39 words
-but no paragraph, the paragraphs around the anchors meet by hash. Of two texts, the passage is removed from the one with the larger number. Clusters are components of texts
-over verified pairs. Copies of a text are one text until the end.
+shingles is at least SIMILAR, words put in or left out between them included. Where the least text of a list has no
+paragraph with another around the list's words, all texts of the list are paired if they are at most PAIRED and have the
+words once; else the paragraphs around the anchors meet by hashes that all paragraphs that repeat share, and those in
+which a shingle stands twice meet all others of the list. Of two texts, the passage is removed from the one with the
+larger number. Clusters are components of texts over verified pairs. Copies of a text are one text until the end.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ KEY = 16
 BACK = KEY - WIDTH
 LONG = 39
 LONG_BACK = 23
-#: In a list that its least text leaves open, so many texts at most are paired each with each.
+#: In a list that its least text leaves open, so many texts at most are paired each with each; in longer ones, by signatures.
 PAIRED = 12
 
 
@@ -207,17 +208,77 @@ def _verify(similar: float):
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, node, s): the hash of every paragraph around the given anchors."""
+#: A paragraph that repeats with a word changed, put in or left out has a run of so many words on one side of it.
+HALF = 24
+#: Words that lie in both of two such paragraphs, without the word at their split.
+REST = WINDOW - 1
+
+
+def _near(at: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
+    """The places from before to after each of at, of those from 0 to n - 1."""
+    near = np.unique((np.asarray(at)[:, None] + np.arange(before, after + 1)).ravel())
+    return near[(near >= 0) & (near < n)]
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, node, s, odd): the hash of every run of HALF words in the paragraphs around the given anchors; and the anchors, as
+    odd, in whose paragraphs a shingle stands twice."""
     for batch in batches:
-        out = []
-        for node, at, text in zip(batch.column("node").to_pylist(), batch.column("at").to_pylist(), batch.column("text")):
-            h = runs(word_hashes(text.as_py()), WINDOW)
-            near = (np.array(at)[:, None] + np.arange(KEY - WINDOW, 1)).ravel()
-            s = np.unique(near[(near >= 0) & (near < len(h))])
-            out.append((h[s].view(np.int64), np.full(len(s), node), s.astype(np.int32)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "node", "s"])
+        for part in slices(batch):
+            out = []
+            for node, at, text in zip(part.column("node").to_pylist(), part.column("at").to_pylist(), part.column("text")):
+                words = word_hashes(text.as_py())
+                h, at = runs(words, HALF), np.array(at)
+                s = _near(at, KEY - WINDOW, WINDOW - HALF, len(h))
+                out.append((h[s].view(np.int64), np.full(len(s), node), s.astype(np.int32), np.zeros(len(s), bool)))
+                before = _before(runs(words, WIDTH))
+                twice = np.nonzero((before >= 0) & (np.arange(len(before)) - before < SPAN))[0]
+                if len(twice):
+                    odd = np.searchsorted(twice, at + WINDOW - WIDTH, "right") > np.searchsorted(twice, at + KEY - WINDOW)
+                    q = at[odd]
+                    out.append((np.zeros(len(q), np.int64), np.full(len(q), node), q.astype(np.int32), np.ones(len(q), bool)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "node", "s", "odd"])
+
+
+def signatures(words: np.ndarray, at: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) by which the paragraphs around the anchors at meet all others that repeat them.
+
+    Where no shingle stands twice, two paragraphs that repeat at SIMILAR have 41 shingles of 46 in common: either a run of
+    45 words, or two runs of REST words together, between which one of the texts, or both, has a word. So the hash is of the
+    run, or of both runs and the place of the split, with and without a word there; any two with one hash do repeat.
+    shared: whether the run of HALF words at each place is in another text; other paragraphs give nothing.
+    """
+    n, found = len(words), []
+    x = runs(words, WINDOW - WIDTH)
+    s = _near(at, KEY - WINDOW + WIDTH, 0, len(x))
+    s = s[shared[s]]
+    found.append((x[s], s))
+    starts = _near(at, KEY - WINDOW, 0, n - REST + 1)
+    for k in range(WIDTH, REST - WIDTH + 1):
+        x, y = runs(words, k), runs(words, REST - k)
+        for gap in (0, 1):
+            s = starts[starts <= n - REST - gap]
+            s = s[shared[s]] if k > HALF else s[shared[s + REST + gap - HALF]]
+            if len(s):
+                place = np.where(s + WINDOW <= n, s, np.maximum(s - 1, 0))  # of a whole paragraph
+                found.append((mix(x[s] ^ mix(y[s + k + gap] + np.uint64(k))), place))
+    h, s = (np.concatenate(c) for c in zip(*found))
+    return h, s
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, rows=32):
+            out = []
+            for node, at, half, text in zip(part.column("node").to_pylist(), part.column("at").to_pylist(), part.column("half").to_pylist(), part.column("text")):
+                words = word_hashes(text.as_py())
+                shared = np.zeros(len(words), bool)
+                shared[half] = True
+                h, s = signatures(words, np.array(at), shared)
+                out.append((h.view(np.int64), np.full(len(s), node), s.astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "node", "s"])
 
 
 def _union(frames):
@@ -247,11 +308,11 @@ def repeated_passages(keyed: DataFrame, similar: float = SIMILAR, recall: float
     met = stored(posted.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"), "met")
     crowded = stored(posted.join(if_small(met), "key").distinct(), "crowded")
 
-    def stars(*extra: str) -> DataFrame:  # (key, u, v, d): v's place in the text of the lead u is d further on
+    def stars(*extra: str) -> DataFrame:  # (key, u, v, d, q): v's place in the text of the lead u is d further on
         rows = crowded.where(F.col(extra[0]) != 0) if extra else crowded
         # a table of its own, so that the join of a hot key can be split
         leads = stored(rows.groupBy("key", *extra).agg(F.min(F.struct("node", "q")).alias("lead")), "leads")
-        return rows.join(leads, ["key", *extra]).where(F.col("lead.node") != F.col("node")).select("key", F.col("lead.node").alias("u"), F.col("node").alias("v"), (F.col("lead.q") - F.col("q")).alias("d"))
+        return rows.join(leads, ["key", *extra]).where(F.col("lead.node") != F.col("node")).select("key", F.col("lead.node").alias("u"), F.col("node").alias("v"), (F.col("lead.q") - F.col("q")).alias("d"), "q")
 
     def checked(pairs: DataFrame) -> DataFrame:  # pairs: (u, v, d)
         per = stored(pairs.groupBy("u", "v").agg(F.collect_set("d").alias("diagonals")), "pairs")
@@ -264,27 +325,33 @@ def repeated_passages(keyed: DataFrame, similar: float = SIMILAR, recall: float
     met_pairs = stored(stars().unionByName(long).distinct(), "stars")
     found = checked(met_pairs)
     # where the least text of a list has no paragraph with another at that place, others of the list may have one
-    sure = stored(found.select("u", "v", "d").distinct(), "sure")
-    unsure = lambda pairs: pairs.join(sure, ["u", "v", "d"], "left_anti").select("key").distinct()
-    open_lists = stored(crowded.join(unsure(met_pairs), "key").select("key", "node", "q"), "open")
-    sizes = open_lists.groupBy("key").agg(F.count_distinct("node").alias("n")).where("n > 2")
+    sure = found.select("u", "v", "d", "vs", "ve")
+    unsure = met_pairs.join(sure, ["u", "v", "d"], "left").groupBy("key", "u", "v", "d", "q").agg(F.max(F.coalesce((F.col("vs") <= F.col("q")) & (F.col("q") + KEY <= F.col("ve")), F.lit(False))).alias("sure"))
+    open_lists = stored(crowded.join(unsure.where("not sure").select("key").distinct(), "key").select("key", "node", "q"), "open")
+    sizes = open_lists.groupBy("key").agg(F.count_distinct("node").alias("n"), F.count(F.lit(1)).alias("places")).where("n > 2 or places > n")
     open_lists = stored(open_lists.join(sizes, "key"), "sized")
-    few = open_lists.where(F.col("n") <= PAIRED)
-    # as with the leads: each place of v meets the first place of u
-    u = few.groupBy("key", F.col("node").alias("u")).agg(F.min("q").alias("uq"))
-    v = few.select("key", F.col("node").alias("v"), F.col("q").alias("vq"))
-    others = u.join(v, "key").where("u < v").select("u", "v", (F.col("uq") - F.col("vq")).alias("d")).distinct()
+    short = (F.col("n") <= PAIRED) & (F.col("places") == F.col("n"))
+
+    def pairs_of(a: DataFrame, b: DataFrame, met: str) -> DataFrame:  # each place of one with each of the other
+        u, v = a.select("key", F.col("node").alias("a"), F.col("q").alias("p")), b.select("key", F.col("node").alias("b"), "q")
+        return u.join(v, "key").where(met).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.expr("if(a < b, p - q, q - p)").alias("d")).distinct()
+
+    # in long lists, and where a text has a place twice, paragraphs meet by signatures
+    rest = open_lists.where(~short)
+    around = stored(rest.groupBy("node").agg(F.collect_set("q").alias("at")), "around")
+    dealt = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # so many tasks, however few bytes
+    own = stored(keyed.join(if_small(around), "node").select("node", "text", "at").dropDuplicates(["node"]), "own")
+    halves = stored(own.mapInArrow(trimmed(_halves), "h long, node long, s int, odd boolean"), "halves")
+    twice = halves.where("not odd").groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("h")
+    half = halves.where("not odd").join(twice, "h").groupBy("node").agg(F.collect_set("s").alias("half"))
+    signed = stored(own.join(half, "node").repartition(dealt, "node").mapInArrow(trimmed(_signatures), "h long, node long, s int"), "signed")
+    leads = stored(signed.groupBy("h").agg(F.min(F.struct("node", "s")).alias("lead"), F.max("node").alias("most")).where("lead.node <> most").drop("most"), "leads")
+    near = signed.join(leads, "h").where(F.col("lead.node") != F.col("node")).select(F.col("lead.node").alias("u"), F.col("node").alias("v"), (F.col("lead.s") - F.col("s")).alias("d")).distinct()
+    # and those in which a shingle stands twice, each with each
+    odd = stored(rest.join(halves.where("odd").select("node", F.col("s").alias("q")).distinct(), ["node", "q"]).select("key", "node", "q"), "odd")
+    others = pairs_of(open_lists.where(short), open_lists.where(short), "a < b").unionByName(near).unionByName(pairs_of(odd, rest, "a <> b")).distinct()
     others = stored(others.join(met_pairs.select("u", "v", "d").distinct(), ["u", "v", "d"], "left_anti"), "others")
-    more = checked(others)
-    around = open_lists.where(F.col("n") > PAIRED).join(unsure(long), "key", "left_semi").groupBy("node").agg(F.collect_set("q").alias("at"))
-    ends = stored(around, "around")
-    words = keyed.join(if_small(ends), "node").select("node", "text", "at")
-    windows = stored(words.mapInArrow(trimmed(_windows), "h long, node long, s int").distinct(), "windows")
-    leads = stored(windows.groupBy("h").agg(F.min(F.struct("node", "s")).alias("lead")), "leads")
-    equal = windows.join(leads, "h").where(F.col("lead.node") != F.col("node"))
-    us, vs = F.col("lead.s"), F.col("s")
-    equal = equal.select(F.col("lead.node").alias("u"), F.col("node").alias("v"), us.alias("us"), (us + WINDOW).alias("ue"), vs.alias("vs"), (vs + WINDOW).alias("ve"))
-    found = stored(found.drop("d").unionByName(more.drop("d")).unionByName(equal), "found")
+    found = stored(found.drop("d").unionByName(checked(others).drop("d")), "found")
     sides = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("us").alias("s"), F.col("ue").alias("e"), F.lit(False).alias("removed")), F.struct(F.col("v").alias("node"), F.col("vs").alias("s"), F.col("ve").alias("e"), F.lit(True).alias("removed"))))
     spans = found.select(sides.alias("x")).select("x.*").distinct()
     per = spans.groupBy("node").agg(F.collect_list(F.struct("s", "e", "removed")).alias("spans"))
