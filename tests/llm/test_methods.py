@@ -169,6 +169,17 @@ def test_parities_never_overstate():
         assert (bits[0] != bits[1]).sum() <= len(x ^ y)
 
 
+def test_lines_of_near_copies_count_once_however_they_differ(spark):
+    rng = random.Random(27)
+    line, rows = "This text stands under the usual license of our site", []
+    for k in range(9):
+        own = words(rng, 200)
+        rows += [(2 * k, f"{' '.join(own)}\n{line}"), (2 * k + 1, f"{text(rng, 20)} {' '.join(own[20:])}\n{line}")]
+    assert len(set(groups_of([t for _, t in rows]))) == 9
+    out = {r["doc_id"]: r["text"] for r in lines.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == dict(rows)
+
+
 def test_templates_are_those_of_a_plain_search():
     rng = random.Random(27)
 

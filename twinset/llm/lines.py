@@ -3,8 +3,8 @@
 Lines are parsed as logs are: in lines of MIN_TOKENS or more, tokens that hold a digit or an address become <*>; a tree of
 fixed depth deals the lines by their number of tokens and then their leading tokens; in a leaf, a line joins the first
 template that agrees in at least SIMILAR of its tokens, and the tokens that differ become <*>. A template recurs if at
-least `min_docs` different texts have a line of it, of which near copies of each other (simhash.copy_groups, by
-sketches alone) count as one: what only they share is left to the near-duplicate stage. Its lines are dropped from every
+least `min_docs` different texts have a line of it, of which near copies of each other (simhash.near_duplicates, as in
+the near-duplicate stage) count as one: what only they share is left to that stage. Its lines are dropped from every
 text in which anything else stands.
 
 Equal texts are told apart by their digest and count once. A leaf's depth grows with the length of its lines. A leaf of
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, if_small, slices, stored, text_key, trimmed
-from .simhash import copy_groups
+from .simhash import near_duplicates
 
 #: Different texts in which a template must occur, and the tokens from which a line has variable ones; shorter lines are
 #: templates as they stand.
@@ -221,7 +221,8 @@ def dropped_lines(keyed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     hit = stored(each.join(if_small(lines), "line").dropDuplicates(["key", "place"]), "hit")
     # near copies are sought among texts with such lines only: others count for no template
     having = stored(hit.select("key").distinct(), "having")
-    of = stored(copy_groups(keyed.select("key", "text").join(if_small(having), "key")), "groups")
+    nodes, groups = near_duplicates(stored(keyed.select("key", "text").join(if_small(having), "key").dropDuplicates(["key"]), "texts"))
+    of = stored(nodes.join(groups, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "groups")
     apart = hit.select("key", "template").distinct().join(if_small(of), "key").select("template", "root").distinct()
     wide = stored(apart.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template"), "wide")
     hit = hit.join(if_small(wide), "template")

@@ -414,14 +414,6 @@ def hub_links(nodes: DataFrame, threshold: float) -> DataFrame:
     return met.join(x, "u").join(y, "v").where(_alike("fp_u", "fp_v", threshold)).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
 
 
-def copy_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs: (key, text). (key, root): texts by groups whose sketches allow the threshold, found by lists of bytes alone
-    and not verified. It misses some near texts; near_duplicates() is for all of them."""
-    nodes = numbered(docs, width)
-    groups = components(stored(hub_links(nodes, threshold), "hubs"))
-    return nodes.join(groups, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-
-
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, threshold: float) -> DataFrame:
     """The pairs of nodes (node, key) whose texts in docs (key, text) have Jaccard similarity >= threshold."""
     ends = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "key"), "node"), "ends")
