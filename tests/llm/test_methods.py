@@ -160,6 +160,19 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert {frozenset(g) for g in found.values()} == groups_of(texts)
 
 
+def test_prefixes_meet_whatever_the_counts():
+    rng, near = np.random.default_rng(28), 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 80)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 2**63, rng.integers(0, 5)).astype(np.uint64)]))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            near += 1
+            known = np.sort(np.union1d(a, b)[rng.random(len(np.union1d(a, b))) < 0.5])
+            for counts in ((known, rng.integers(4, 9, len(known))), (known[:0], np.zeros(0, np.int64))):
+                assert len(np.intersect1d(simhash.prefix(a, counts, 0.8), simhash.prefix(b, counts, 0.8)))
+    assert near > 100
+
+
 def test_parities_never_overstate():
     rng = random.Random(26)
     for _ in range(200):
