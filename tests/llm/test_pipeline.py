@@ -1,5 +1,5 @@
 import corpus_pipeline
-from twinset.llm import registry
+from twinset.llm import common, registry
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,3 +25,15 @@ def test_pipeline_keeps_clean_documents(spark):
             assert len(x & y) < 0.8 * len(x | y), (a, b)
     packed = corpus_pipeline.STAGES[4][1](spark, corpus_pipeline.STAGES[3][1](spark, now, DATA), DATA)
     assert packed.count() > 0
+
+
+def test_stages_leave_no_tables_but_what_their_result_reads(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        before = common.made()
+        out = stage(spark, docs, DATA)
+        assert common.made() == before + 1, name
+        table = spark.read.parquet(common._made[-1][1])
+        assert not {"text", "_row"} & set(table.columns), name
+        out.write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")

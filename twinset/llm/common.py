@@ -22,6 +22,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _made: list[tuple[SparkSession, str]] = []
+_roots: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,7 +33,7 @@ def scratch_root(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="twinset-")
         spark.conf.set("spark.checkpoint.dir", base)
-        _made.append((spark, base))
+        _roots.append((spark, base))
     return base.rstrip("/")
 
 
@@ -59,6 +60,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, tag: str, since: int) -> DataFrame:
+    """stored(), after which the scratch tables made since there were `since` of them go: only df may have read them."""
+    at = made()
+    out = stored(df, tag)
+    kept = _made[at:]
+    del _made[at:]
+    release(since)
+    _made.extend(kept)
+    return out
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more, which it does after a collection."""
     gc.collect()
@@ -73,8 +85,12 @@ def made() -> int:
 def release(since: int = 0) -> None:
     """Deletes the scratch tables made since there were so many, at exit all. Frames that still read one of them can't be
     used afterwards."""
-    while len(_made) > since:
-        spark, path = _made.pop()
+    _delete(_made, since)
+
+
+def _delete(tables: list[tuple[SparkSession, str]], since: int = 0) -> None:
+    while len(tables) > since:
+        spark, path = tables.pop()
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
@@ -83,6 +99,7 @@ def release(since: int = 0) -> None:
             return
 
 
+atexit.register(_delete, _roots)
 atexit.register(release)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import made, settled, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,6 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: (u, v), any comparable type without nulls. Returns (node, root) for every node of an edge; root is the
     least node of its component. Minima are partial aggregates and joins are skew joins, so a hub is no single task.
     """
+    since = made()
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:
@@ -31,5 +32,5 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark or not seen["n"]:
             break
         mark = tuple(seen)
-        now = stored(_star(_star(now, True), False), "edges")
+        now = settled(_star(_star(now, True), False), "edges", since)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, if_small, slices, stored, text_key, trimmed
+from .common import free_name, free_shuffles, if_small, made, settled, slices, stored, text_key, trimmed
 from .simhash import near_duplicates
 
 #: Different texts in which a template must occur, and the tokens from which a line has variable ones; shorter lines are
@@ -187,6 +187,7 @@ def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
     Leaves that have not even min_docs keys together, nearly all, go first. The lines of a leaf are parsed in PARTS
     parts, so that a leaf of any number of lines is many tasks' work, and then the templates of the parts.
     """
+    since = made()
     counted = stored(keyed.mapInArrow(trimmed(_count(min_docs, min_tokens)), "leaf long, line long, masked string, keys array<binary>"), "lines")
     likely = counted.groupBy("leaf").agg(F.sum(F.size("keys")).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     lines = counted.join(if_small(stored(likely, "leaves")), "leaf").withColumn("part", F.pmod("line", F.lit(PARTS)))
@@ -195,7 +196,9 @@ def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
     met = parsed.where(F.size("keys") > 0).select("leaf", F.lit(0).alias("part"), "masked", "keys").repartition("leaf").sortWithinPartitions("leaf")
     found = stored(met.mapInArrow(trimmed(_generalise(min_docs, True)), "line long, template string").dropDuplicates(["line"]), "found")
     named = parsed.select("line", "named").distinct()
-    return stored(named.join(if_small(found.withColumnRenamed("line", "named")), "named").select("line", "template").dropDuplicates(["line"]), "templates")
+    out = settled(named.join(if_small(found.withColumnRenamed("line", "named")), "named").select("line", "template").dropDuplicates(["line"]), "templates", since)
+    free_shuffles(keyed.sparkSession)
+    return out
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,19 +219,23 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dropped_lines(keyed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, places, templates): of each text that loses lines, their numbers from 0 and, in the same order, templates."""
+    since = made()
     lines = recurring(keyed, min_docs)
     each = keyed.mapInArrow(trimmed(_number), "key binary, place int, line long, words int, total int")
     hit = stored(each.join(if_small(lines), "line").dropDuplicates(["key", "place"]), "hit")
     # near copies are sought among texts with such lines only: others count for no template
+    before = made()
     having = stored(hit.select("key").distinct(), "having")
     nodes, groups = near_duplicates(stored(keyed.select("key", "text").join(if_small(having), "key").dropDuplicates(["key"]), "texts"))
-    of = stored(nodes.join(groups, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "groups")
+    of = settled(nodes.join(groups, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "groups", before)
     apart = hit.select("key", "template").distinct().join(if_small(of), "key").select("template", "root").distinct()
     wide = stored(apart.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template"), "wide")
     hit = hit.join(if_small(wide), "template")
     per = hit.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "template"))).alias("cut"), F.sum("words").alias("words"), F.max("total").alias("total"))
     few = per.where(F.col("words") < F.col("total"))
-    return stored(few.select("key", F.col("cut.place").alias("places"), F.col("cut.template").alias("templates")), "dropped")
+    out = settled(few.select("key", F.col("cut.place").alias("places"), F.col("cut.template").alias("templates")), "dropped", since)
+    free_shuffles(keyed.sparkSession)
+    return out
 
 
 def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

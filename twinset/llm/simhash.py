@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, free_shuffles, if_small, slices, stored, text_key, trimmed
+from .common import free_name, free_shuffles, if_small, made, settled, slices, stored, text_key, trimmed
 from .graph import components
 from .hashing import gram_set, word_hashes
 
@@ -390,9 +390,10 @@ def _sketches(width: int):
 def numbered(docs: DataFrame, width: int) -> DataFrame:
     """docs: (key, text). (node, key, times, fp): each different text with a number, its rows, and a struct of its
     fingerprint f0.., the parities p0.. of its set of `width`-word shingles, and the size n of that."""
+    since = made()
     prints = stored(docs.select("key", "text").mapInArrow(trimmed(_sketches(width)), "key binary, " + ", ".join(f"{c} long" for c in SKETCH)), "wide")
     each = prints.groupBy("key").agg(*[F.first(c).alias(c) for c in SKETCH], F.count(F.lit(1)).alias("times"))
-    return stored(each.select(F.monotonically_increasing_id().alias("node"), "key", "times", F.struct(*SKETCH).alias("fp")), "nodes")
+    return settled(each.select(F.monotonically_increasing_id().alias("node"), "key", "times", F.struct(*SKETCH).alias("fp")), "nodes", since)
 
 
 def byte_lists(nodes: int) -> list[tuple[int, int, int]]:
@@ -416,11 +417,12 @@ def hub_links(nodes: DataFrame, threshold: float) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, threshold: float) -> DataFrame:
     """The pairs of nodes (node, key) whose texts in docs (key, text) have Jaccard similarity >= threshold."""
+    since = made()
     ends = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "key"), "node"), "ends")
     texts = docs.select("key", "text").join(if_small(ends), "key").select("node", "text")
     packed = stored(texts.mapInArrow(trimmed(_packed), "node long, packed binary").dropDuplicates(["node"]), "packed")
     x, y = (packed.select(F.col("node").alias(at), F.col("packed").alias(p)) for at, p in (("u", "x"), ("v", "y")))
-    out = stored(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(trimmed(_jaccard(width, threshold)), "u long, v long"), "verified")
+    out = settled(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(trimmed(_jaccard(width, threshold)), "u long, v long"), "verified", since)
     free_shuffles(docs.sparkSession)
     return out
 
@@ -469,7 +471,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     texts = docs.select("key", "text")
     nodes = numbered(texts, width)
     prints = nodes.select("node", _brief("fp").alias("fp"))
-    edges = verified(stored(hub_links(nodes, threshold), "hubs"), texts, nodes, width, threshold)
+    since = made()
+    edges = verified(settled(hub_links(nodes, threshold), "hubs", since), texts, nodes, width, threshold)
     groups = components(edges)
     sizes = _rooted(nodes.select("key", "node", "times"), groups, "node")
     shared = groups.select("node").distinct().withColumn("linked", F.lit(True))
@@ -516,6 +519,7 @@ def deduplicated(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> Dat
     Texts without words are one group. Equal rows count as copies: one stays. An empty table stays empty. Other columns
     may have any names.
     """
+    since = made()
     key, row, root, of, id_of, times = (free_name(docs, c) for c in ("_key", "_row", "_root", "_of", "_id", "_times"))
     keyed = docs.withColumn(key, text_key("text"))
     nodes, groups = near_duplicates(keyed.select(F.col(key).alias("key"), "text"), width, threshold)
@@ -523,7 +527,8 @@ def deduplicated(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> Dat
     ids = keyed.groupBy("doc_id", key).agg(F.count(F.lit(1)).alias("times"))
     ranked = ids.join(known, F.col(key) == F.col(of))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col(key).alias("key"), "times")).alias("w")
-    first = stored(ranked.groupBy(root).agg(least).select(F.col("w.doc_id").alias(id_of), F.col("w.key").alias(of), F.col("w.times").alias(times)), "winners")
+    first = settled(ranked.groupBy(root).agg(least).select(F.col("w.doc_id").alias(id_of), F.col("w.key").alias(of), F.col("w.times").alias(times)), "winners", since)
+    free_shuffles(docs.sparkSession)
     out = keyed.join(if_small(first), (F.col(key) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(id_of)))
     if first.where(F.col(times) > 1).isEmpty():
         return out.select(*docs.columns)
