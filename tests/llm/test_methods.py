@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,18 @@ def test_signatures_meet_where_paragraphs_repeat():
     assert met > 20
 
 
+def test_anchors_that_meet_all_others_have_no_signatures():
+    rng = random.Random(27)
+    line, own = words(rng, 20), words(rng, 120)
+    texts = [" ".join(line * 5), " ".join(own), " ".join(line * 5 + own)]
+    at, half = [[30], [40], [30, 140]], [list(range(77)), list(range(97)), list(range(197))]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(at), pa.array(half), pa.array(texts)], names=["node", "at", "half", "text"])
+    rows = [r for out in substring._signatures(iter([batch])) for r in out.to_pylist()]
+    assert {r["node"] for r in rows} == {2, 3} and {r["h"] for r in rows if r["node"] == 2} == {r["h"] for r in rows if r["node"] == 3}
+    marked = [r for out in substring._halves(iter([batch.select(["node", "at", "text"])])) for r in out.to_pylist() if r["odd"]]
+    assert [(r["node"], r["s"]) for r in marked] == [(1, 30), (3, 30)]
+
+
 def test_cut_passages(spark):
     rng = random.Random(24)
     own = text(rng, 80)

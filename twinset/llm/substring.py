@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, if_small, n_words_of, slices, stored, text_key, trimmed
+from .common import free_name, free_shuffles, if_small, made, n_words_of, settled, slices, stored, text_key, trimmed
 from .graph import components
 from .hashing import mix, runs, word_hashes
 
@@ -220,23 +220,26 @@ def _near(at: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
     return near[(near >= 0) & (near < n)]
 
 
+def _odd(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a shingle stands twice in one of the paragraphs around each of the anchors at."""
+    before = _before(runs(words, WIDTH))
+    twice = np.nonzero((before >= 0) & (np.arange(len(before)) - before < SPAN))[0]
+    return np.searchsorted(twice, at + WINDOW - WIDTH, "right") > np.searchsorted(twice, at + KEY - WINDOW)
+
+
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, node, s, odd): the hash of every run of HALF words in the paragraphs around the given anchors; and the anchors, as
-    odd, in whose paragraphs a shingle stands twice."""
+    """(h, node, s, odd): the given anchors, as odd, in whose paragraphs a shingle stands twice; and the hash of every run of
+    HALF words in the paragraphs around the others."""
     for batch in batches:
         for part in slices(batch):
             out = []
             for node, at, text in zip(part.column("node").to_pylist(), part.column("at").to_pylist(), part.column("text")):
                 words = word_hashes(text.as_py())
                 h, at = runs(words, HALF), np.array(at)
-                s = _near(at, KEY - WINDOW, WINDOW - HALF, len(h))
+                odd = _odd(words, at)
+                s, q = _near(at[~odd], KEY - WINDOW, WINDOW - HALF, len(h)), at[odd]
                 out.append((h[s].view(np.int64), np.full(len(s), node), s.astype(np.int32), np.zeros(len(s), bool)))
-                before = _before(runs(words, WIDTH))
-                twice = np.nonzero((before >= 0) & (np.arange(len(before)) - before < SPAN))[0]
-                if len(twice):
-                    odd = np.searchsorted(twice, at + WINDOW - WIDTH, "right") > np.searchsorted(twice, at + KEY - WINDOW)
-                    q = at[odd]
-                    out.append((np.zeros(len(q), np.int64), np.full(len(q), node), q.astype(np.int32), np.ones(len(q), bool)))
+                out.append((np.zeros(len(q), np.int64), np.full(len(q), node), q.astype(np.int32), np.ones(len(q), bool)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "node", "s", "odd"])
 
@@ -268,14 +271,15 @@ def signatures(words: np.ndarray, at: np.ndarray, shared: np.ndarray) -> tuple[n
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, node, s) of the given anchors but those in whose paragraphs a shingle stands twice, which meet all others anyway."""
     for batch in batches:
         for part in slices(batch, rows=32):
             out = []
             for node, at, half, text in zip(part.column("node").to_pylist(), part.column("at").to_pylist(), part.column("half").to_pylist(), part.column("text")):
                 words = word_hashes(text.as_py())
-                shared = np.zeros(len(words), bool)
+                shared, at = np.zeros(len(words), bool), np.array(at)
                 shared[half] = True
-                h, s = signatures(words, np.array(at), shared)
+                h, s = signatures(words, at[~_odd(words, at)], shared)
                 out.append((h.view(np.int64), np.full(len(s), node), s.astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "node", "s"])
@@ -304,9 +308,11 @@ def _union(frames):
 def repeated_passages(keyed: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """keyed: (node, text), node being a number of the text. Returns (node, start, end, removed), word places of repeated
     passages, and (node, root), the clusters of texts that share some."""
+    since = made()
     posted = stored(keyed.mapInArrow(trimmed(_post(bands_for(similar, recall))), "key long, node long, q int, ahead long, behind long"), "anchors")
     met = stored(posted.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"), "met")
-    crowded = stored(posted.join(if_small(met), "key").distinct(), "crowded")
+    crowded = settled(posted.join(if_small(met), "key").distinct(), "crowded", since)
+    free_shuffles(keyed.sparkSession)
 
     def stars(*extra: str) -> DataFrame:  # (key, u, v, d, q): v's place in the text of the lead u is d further on
         rows = crowded.where(F.col(extra[0]) != 0) if extra else crowded
@@ -315,14 +321,18 @@ def repeated_passages(keyed: DataFrame, similar: float = SIMILAR, recall: float
         return rows.join(leads, ["key", *extra]).where(F.col("lead.node") != F.col("node")).select("key", F.col("lead.node").alias("u"), F.col("node").alias("v"), (F.col("lead.q") - F.col("q")).alias("d"), "q")
 
     def checked(pairs: DataFrame) -> DataFrame:  # pairs: (u, v, d)
+        before = made()
         per = stored(pairs.groupBy("u", "v").agg(F.collect_set("d").alias("diagonals")), "pairs")
         ends = stored(per.select("u").union(per.select("v")).distinct().withColumnRenamed("u", "node"), "ends")
         words = stored(keyed.join(if_small(ends), "node").mapInArrow(trimmed(_texts), "node long, words binary").dropDuplicates(["node"]), "words")
         x, y = (words.select(F.col("node").alias(at), F.col("words").alias(w)) for at, w in (("u", "x"), ("v", "y")))
-        return stored(per.join(x, "u").join(y, "v").mapInArrow(trimmed(_verify(similar)), "u long, v long, d int, us int, ue int, vs int, ve int"), "verified")
+        out = settled(per.join(x, "u").join(y, "v").mapInArrow(trimmed(_verify(similar)), "u long, v long, d int, us int, ue int, vs int, ve int"), "verified", before)
+        free_shuffles(keyed.sparkSession)
+        return out
 
+    before = made()
     long = stored(stars("ahead").unionByName(stars("behind")).distinct(), "long")
-    met_pairs = stored(stars().unionByName(long).distinct(), "stars")
+    met_pairs = settled(stars().unionByName(long).distinct(), "stars", before)
     found = checked(met_pairs)
     # where the least text of a list has no paragraph with another at that place, others of the list may have one
     sure = found.select("u", "v", "d", "vs", "ve")
@@ -336,6 +346,7 @@ def repeated_passages(keyed: DataFrame, similar: float = SIMILAR, recall: float
         u, v = a.select("key", F.col("node").alias("a"), F.col("q").alias("p")), b.select("key", F.col("node").alias("b"), "q")
         return u.join(v, "key").where(met).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.expr("if(a < b, p - q, q - p)").alias("d")).distinct()
 
+    before = made()
     # in long lists, and where a text has a place twice, paragraphs meet by signatures
     rest = open_lists.where(~short)
     around = stored(rest.groupBy("node").agg(F.collect_set("q").alias("at")), "around")
@@ -345,12 +356,14 @@ def repeated_passages(keyed: DataFrame, similar: float = SIMILAR, recall: float
     twice = halves.where("not odd").groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("h")
     half = halves.where("not odd").join(twice, "h").groupBy("node").agg(F.collect_set("s").alias("half"))
     signed = stored(own.join(half, "node").repartition(dealt, "node").mapInArrow(trimmed(_signatures), "h long, node long, s int"), "signed")
+    free_shuffles(keyed.sparkSession)
     leads = stored(signed.groupBy("h").agg(F.min(F.struct("node", "s")).alias("lead"), F.max("node").alias("most")).where("lead.node <> most").drop("most"), "leads")
     near = signed.join(leads, "h").where(F.col("lead.node") != F.col("node")).select(F.col("lead.node").alias("u"), F.col("node").alias("v"), (F.col("lead.s") - F.col("s")).alias("d")).distinct()
     # and those in which a shingle stands twice, each with each
     odd = stored(rest.join(halves.where("odd").select("node", F.col("s").alias("q")).distinct(), ["node", "q"]).select("key", "node", "q"), "odd")
     others = pairs_of(open_lists.where(short), open_lists.where(short), "a < b").unionByName(near).unionByName(pairs_of(odd, rest, "a <> b")).distinct()
-    others = stored(others.join(met_pairs.select("u", "v", "d").distinct(), ["u", "v", "d"], "left_anti"), "others")
+    others = settled(others.join(met_pairs.select("u", "v", "d").distinct(), ["u", "v", "d"], "left_anti"), "others", before)
+    free_shuffles(keyed.sparkSession)
     found = stored(found.drop("d").unionByName(checked(others).drop("d")), "found")
     sides = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("us").alias("s"), F.col("ue").alias("e"), F.lit(False).alias("removed")), F.struct(F.col("v").alias("node"), F.col("vs").alias("s"), F.col("ve").alias("e"), F.lit(True).alias("removed"))))
     spans = found.select(sides.alias("x")).select("x.*").distinct()
