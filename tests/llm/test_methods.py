@@ -1,5 +1,6 @@
 """The operators' methods against brute force, and the pipeline's stages on rows that are not as they should be."""
 
+import collections
 import math
 import os
 import random
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from twinset.llm import html, lines, mixing, neighbours, packing, registry, simhash, substring
+from twinset.llm import common, html, lines, mixing, neighbours, packing, registry, simhash, substring
 from twinset.llm.common import text_key
 
 
@@ -127,6 +128,45 @@ def test_anchors_that_meet_all_others_have_no_signatures():
     assert [(r["node"], r["s"]) for r in marked] == [(1, 30), (3, 30)]
 
 
+def test_runs_of_one_word_meet_without_pairing_their_places(spark):
+    rng = random.Random(28)
+    rows = [(i, " ".join(words(rng, 30) + ["the"] * (150 + i) + ["of"] * 60 + words(rng, 30))) for i in range(24)]
+    at = substring.made()
+    got = substring.duplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    tables = {path.rsplit("-", 1)[1]: path for _, path in common._made[at:]}
+    assert spark.read.parquet(tables["others"]).count() < 20_000
+    removed = collections.defaultdict(set)
+    for r in got:
+        if r["removed"]:
+            removed[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    assert {r["doc_id"] for r in got} == set(range(24)) and {r["cluster_id"] for r in got} == {0}
+    assert len(removed) == 23 and all(set(range(30, 240 + i)) <= removed[i] for i in removed)
+
+
+@pytest.mark.parametrize("similar", [0.8, 0.9])
+def test_rare_shingles_meet_where_paragraphs_repeat(similar):
+    rng = random.Random(29)
+    met = 0
+    for _ in range(60):
+        line = [rng.randrange(30) for _ in range(rng.randint(8, 20))]
+        a = (line * 9)[: rng.randint(50, 70)]
+        b = edited(rng, a, [rng.choice(["put in", "left out", "changed"])])
+        x, y = (np.array(t, dtype=np.uint64) for t in (a, b))
+        grams = [substring.runs(t, 5) for t in (x, y)]
+        counts = collections.Counter(np.concatenate(grams).tolist())
+        found = []
+        for g, t in zip(grams, (x, y)):
+            s, p = substring.prefixes(g, np.array([counts[k] for k in g.tolist()]), np.arange(len(t) - 49), similar)
+            found.append({i: set(zip(g[p[s == i]].tolist(), (p[s == i] - i).tolist())) for i in range(len(t) - 49)})
+        for d in range(-3, 4):
+            for lo, hi in substring.repeats(x.astype(np.uint32), y.astype(np.uint32), d, similar):
+                for i in range(lo, hi - 49):
+                    if substring.repeats(x[i : i + 50].astype(np.uint32), y[i - d : i - d + 50].astype(np.uint32), 0, similar):
+                        met += 1
+                        assert any(h == k and abs(p - q) <= 1 for h, p in found[0][i] for k, q in found[1][i - d])
+    assert met > 20
+
+
 def test_cut_passages(spark):
     rng = random.Random(24)
     own = text(rng, 80)

@@ -10,9 +10,11 @@ Texts that meet are paired with the least text of their key, and of its parts wh
 of paragraphs, beside each other at the distance of the anchors, repeats if the exact Jaccard similarity of their sets of
 shingles is at least SIMILAR, words put in or left out between them included. Where the least text of a list has no
 paragraph with another around the list's words, all texts of the list are paired if they are at most PAIRED and have the
-words once; else the paragraphs around the anchors meet by hashes that all paragraphs that repeat share, and those in
-which a shingle stands twice meet all others of the list. Of two texts, the passage is removed from the one with the
-larger number. Clusters are components of texts over verified pairs. Copies of a text are one text until the end.
+words once; else the paragraphs around the anchors meet by hashes that all paragraphs that repeat share. Anchors in whose
+paragraphs a shingle stands twice stand at each place of a run of one word, so they aren't paired place by place: equal
+paragraphs are one, and different ones meet if they share one of the shingles, rare ones first, that such pairs are sure to
+share. Of two texts, the passage is removed from the one with the larger number. Clusters are components of texts over
+verified pairs. Copies of a text are one text until the end.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ KEY = 16
 BACK = KEY - WIDTH
 LONG = 39
 LONG_BACK = 23
-#: In a list that its least text leaves open, so many texts at most are paired each with each; in longer ones, by signatures.
-PAIRED = 12
+#: In a list that its least text leaves open, so many texts at most are paired each with each; in longer ones, by signatures,
+#: of which a place has hundreds: both find the same, and up to here pairs take less time and disk.
+PAIRED = 128
 
 
 def bands_for(similar: float = SIMILAR, recall: float = RECALL) -> int:
@@ -60,10 +63,11 @@ def anchors(words: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _post(bands: int):
-    """(key, node, q, ahead, behind): posting keys of each text, with hashes of the longer runs beside them (0: none)."""
+    """(key, node, q, ahead, behind, odd): posting keys of each text, with hashes of the longer runs beside them (0: none)
+    and whether a shingle stands twice in a paragraph around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "node", "q", "ahead", "behind"]
+        names = ["key", "node", "q", "ahead", "behind", "odd"]
         for batch in batches:
             for part in slices(batch):
                 out, seen = [], set()
@@ -81,7 +85,7 @@ def _post(bands: int):
                     ahead = np.where(q < len(long), long[np.minimum(q, len(long) - 1)], np.uint64(0))
                     b = q - LONG_BACK
                     behind = np.where((b >= 0) & (b < len(long)), long[np.clip(b, 0, len(long) - 1)], np.uint64(0))
-                    out.append((keys[q].view(np.int64), np.full(len(q), node), q.astype(np.int32), ahead.view(np.int64), behind.view(np.int64)))
+                    out.append((keys[q].view(np.int64), np.full(len(q), node), q.astype(np.int32), ahead.view(np.int64), behind.view(np.int64), _odd(words, q)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
@@ -285,6 +289,76 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "node", "s"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, node, s): every paragraph around the given anchors."""
+    for batch in batches:
+        for part in slices(batch):
+            out = []
+            for node, at, text in zip(part.column("node").to_pylist(), part.column("at").to_pylist(), part.column("text")):
+                h = runs(word_hashes(text.as_py()), WINDOW)
+                s = _near(at, KEY - WINDOW, 0, len(h))
+                out.append((h[s].view(np.int64), np.full(len(s), node), s.astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "node", "s"])
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, node, p): the shingles in the given paragraphs."""
+    for batch in batches:
+        for part in slices(batch):
+            out = []
+            for node, starts, text in zip(part.column("node").to_pylist(), part.column("starts").to_pylist(), part.column("text")):
+                h = runs(word_hashes(text.as_py()), WIDTH)
+                p = _near(starts, 0, SPAN - 1, len(h))
+                out.append((h[p].view(np.int64), np.full(len(p), node), p.astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "node", "p"])
+
+
+def prefixes(grams: np.ndarray, counts: np.ndarray, starts: np.ndarray, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """(start, place): of each paragraph, its rarest shingles, each where it stands first, so many that those of any two that
+    repeat have one in common. grams, counts: of each place of the text.
+
+    What two such paragraphs share is at least SIMILAR of either; so the first in order of what they share has no more
+    before it in either than the rest of the paragraph's shingles.
+    """
+    order = np.lexsort((grams, counts))
+    rank = np.empty(len(grams), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(grams[order][1:] != grams[order][:-1])])
+    before, found = _before(grams), []
+    for i in range(0, len(starts), 4096):
+        at = starts[i : i + 4096, None] + np.arange(SPAN)
+        first = before[at] < starts[i : i + 4096, None]
+        by = np.argsort(np.where(first, rank[at], len(grams)), axis=1, kind="stable")
+        n = first.sum(1)
+        kept = np.arange(SPAN) < (n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1)[:, None]
+        row, col = np.nonzero(kept)
+        found.append((starts[i + row], starts[i + row] + by[row, col]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _prefixes(similar: float):
+    """(h, node, p, odd): prefixes() of the given paragraphs; odd: of one around an anchor in whose paragraphs a shingle stands twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                out = []
+                for node, at, starts, grams, text in zip(part.column("node").to_pylist(), part.column("at").to_pylist(), part.column("starts").to_pylist(), part.column("grams"), part.column("text")):
+                    words, at = word_hashes(text.as_py()), np.array(at)
+                    h, counts = runs(words, WIDTH), np.zeros(len(words) - WIDTH + 1, np.int64)
+                    counts[grams.values.field("p").to_numpy()] = grams.values.field("n").to_numpy()
+                    s, p = prefixes(h, counts, np.sort(np.array(starts)), similar)
+                    odd = np.isin(s, _near(at[_odd(words, at)], KEY - WINDOW, 0, len(words)))
+                    for kind in (False, True):
+                        places = np.unique(p[odd == kind])
+                        out.append((h[places].view(np.int64), np.full(len(places), node), places.astype(np.int32), np.full(len(places), kind)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "node", "p", "odd"])
+
+    return run
+
+
 def _union(frames):
     """Merges each text's spans; a kept span within removed ones is left out."""
     import pandas as pd
@@ -309,16 +383,16 @@ def repeated_passages(keyed: DataFrame, similar: float = SIMILAR, recall: float
     """keyed: (node, text), node being a number of the text. Returns (node, start, end, removed), word places of repeated
     passages, and (node, root), the clusters of texts that share some."""
     since = made()
-    posted = stored(keyed.mapInArrow(trimmed(_post(bands_for(similar, recall))), "key long, node long, q int, ahead long, behind long"), "anchors")
+    posted = stored(keyed.mapInArrow(trimmed(_post(bands_for(similar, recall))), "key long, node long, q int, ahead long, behind long, odd boolean"), "anchors")
     met = stored(posted.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"), "met")
     crowded = settled(posted.join(if_small(met), "key").distinct(), "crowded", since)
     free_shuffles(keyed.sparkSession)
 
-    def stars(*extra: str) -> DataFrame:  # (key, u, v, d, q): v's place in the text of the lead u is d further on
+    def stars(*extra: str) -> DataFrame:  # (key, u, v, d, q, odd): v's place in the text of the lead u is d further on; odd: both places
         rows = crowded.where(F.col(extra[0]) != 0) if extra else crowded
         # a table of its own, so that the join of a hot key can be split
-        leads = stored(rows.groupBy("key", *extra).agg(F.min(F.struct("node", "q")).alias("lead")), "leads")
-        return rows.join(leads, ["key", *extra]).where(F.col("lead.node") != F.col("node")).select("key", F.col("lead.node").alias("u"), F.col("node").alias("v"), (F.col("lead.q") - F.col("q")).alias("d"), "q")
+        leads = stored(rows.groupBy("key", *extra).agg(F.min(F.struct("node", "q", "odd")).alias("lead")), "leads")
+        return rows.join(leads, ["key", *extra]).where(F.col("lead.node") != F.col("node")).select("key", F.col("lead.node").alias("u"), F.col("node").alias("v"), (F.col("lead.q") - F.col("q")).alias("d"), "q", (F.col("odd") & F.col("lead.odd")).alias("odd"))
 
     def checked(pairs: DataFrame) -> DataFrame:  # pairs: (u, v, d)
         before = made()
@@ -332,14 +406,17 @@ def repeated_passages(keyed: DataFrame, similar: float = SIMILAR, recall: float
 
     before = made()
     long = stored(stars("ahead").unionByName(stars("behind")).distinct(), "long")
-    met_pairs = settled(stars().unionByName(long).distinct(), "stars", before)
+    starred = settled(stars().unionByName(long).distinct(), "stars", before)
+    met_pairs = starred.where("not odd")
     found = checked(met_pairs)
     # where the least text of a list has no paragraph with another at that place, others of the list may have one
     sure = found.select("u", "v", "d", "vs", "ve")
     unsure = met_pairs.join(sure, ["u", "v", "d"], "left").groupBy("key", "u", "v", "d", "q").agg(F.max(F.coalesce((F.col("vs") <= F.col("q")) & (F.col("q") + KEY <= F.col("ve")), F.lit(False))).alias("sure"))
-    open_lists = stored(crowded.join(unsure.where("not sure").select("key").distinct(), "key").select("key", "node", "q"), "open")
-    sizes = open_lists.groupBy("key").agg(F.count_distinct("node").alias("n"), F.count(F.lit(1)).alias("places")).where("n > 2 or places > n")
-    open_lists = stored(open_lists.join(sizes, "key"), "sized")
+    # a list with odd places is open also if it has but two
+    unmet = stored(unsure.where("not sure").select("key", F.lit(False).alias("two")).unionByName(starred.where("odd").select("key", F.lit(True).alias("two"))).groupBy("key").agg(F.max("two").alias("two")), "unmet")
+    open_lists = stored(crowded.join(unmet, "key").select("key", "node", "q", "odd", "two").distinct(), "open")
+    sizes = open_lists.groupBy("key").agg(F.count_distinct("node").alias("n"), F.count(F.lit(1)).alias("places"), F.max("two").alias("two")).where("n > 2 or places > n or two").drop("two")
+    open_lists = stored(open_lists.drop("two").join(sizes, "key"), "sized")
     short = (F.col("n") <= PAIRED) & (F.col("places") == F.col("n"))
 
     def pairs_of(a: DataFrame, b: DataFrame, met: str) -> DataFrame:  # each place of one with each of the other
@@ -352,19 +429,40 @@ def repeated_passages(keyed: DataFrame, similar: float = SIMILAR, recall: float
     around = stored(rest.groupBy("node").agg(F.collect_set("q").alias("at")), "around")
     dealt = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # so many tasks, however few bytes
     own = stored(keyed.join(if_small(around), "node").select("node", "text", "at").dropDuplicates(["node"]), "own")
-    halves = stored(own.mapInArrow(trimmed(_halves), "h long, node long, s int, odd boolean"), "halves")
-    twice = halves.where("not odd").groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("h")
-    half = halves.where("not odd").join(twice, "h").groupBy("node").agg(F.collect_set("s").alias("half"))
+    halves = stored(own.mapInArrow(trimmed(_halves), "h long, node long, s int, odd boolean").where("not odd").drop("odd"), "halves")
+    twice = halves.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("h")
+    half = halves.join(twice, "h").groupBy("node").agg(F.collect_set("s").alias("half"))
     signed = stored(own.join(half, "node").repartition(dealt, "node").mapInArrow(trimmed(_signatures), "h long, node long, s int"), "signed")
     free_shuffles(keyed.sparkSession)
     leads = stored(signed.groupBy("h").agg(F.min(F.struct("node", "s")).alias("lead"), F.max("node").alias("most")).where("lead.node <> most").drop("most"), "leads")
-    near = signed.join(leads, "h").where(F.col("lead.node") != F.col("node")).select(F.col("lead.node").alias("u"), F.col("node").alias("v"), (F.col("lead.s") - F.col("s")).alias("d")).distinct()
-    # and those in which a shingle stands twice, each with each
-    odd = stored(rest.join(halves.where("odd").select("node", F.col("s").alias("q")).distinct(), ["node", "q"]).select("key", "node", "q"), "odd")
-    others = pairs_of(open_lists.where(short), open_lists.where(short), "a < b").unionByName(near).unionByName(pairs_of(odd, rest, "a <> b")).distinct()
-    others = settled(others.join(met_pairs.select("u", "v", "d").distinct(), ["u", "v", "d"], "left_anti"), "others", before)
+    near = settled(signed.join(leads, "h").where(F.col("lead.node") != F.col("node")).select(F.col("lead.node").alias("u"), F.col("node").alias("v"), (F.col("lead.s") - F.col("s")).alias("d")).distinct(), "near", before)
+    free_shuffles(keyed.sparkSession)
+
+    # where a shingle stands twice: equal paragraphs each repeat that of the least text, or, in it, that of the last
+    before = made()
+    lists = rest.join(rest.where("odd").select("key").distinct(), "key")
+    around = stored(lists.groupBy("node").agg(F.collect_set("q").alias("at")), "around")
+    own = stored(keyed.join(if_small(around), "node").select("node", "text", "at").dropDuplicates(["node"]), "own")
+    windows = stored(own.repartition(dealt, "node").mapInArrow(trimmed(_windows), "h long, node long, s int"), "windows")
+    ends = stored(windows.groupBy("h").agg(F.min(F.struct("node", "s")).alias("x"), F.max(F.struct("node", "s")).alias("y")), "ends")
+    least = F.col("node") == F.col("x.node")
+    u, us, v, vs = F.col("x.node"), F.when(least, F.col("s")).otherwise(F.col("x.s")), F.col("y.node"), F.when(least, F.col("y.s")).otherwise(F.col("s"))
+    equal = windows.join(ends.where("x.node <> y.node"), "h").select(u.alias("u"), F.when(least, v).otherwise(F.col("node")).alias("v"), us.alias("us"), (us + WINDOW).alias("ue"), vs.alias("vs"), (vs + WINDOW).alias("ve")).distinct()
+    found = stored(found.drop("d").unionByName(equal), "equal")
+    # different ones, each in its least and its last text, meet by rare shingles
+    starts = ends.select(F.explode(F.array("x", "y")).alias("x")).select("x.*").groupBy("node").agg(F.collect_set("s").alias("starts"))
+    own = stored(own.join(starts, "node"), "own")
+    grams = stored(own.repartition(dealt, "node").mapInArrow(trimmed(_grams), "h long, node long, p int"), "grams")
+    counts = grams.join(grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h").groupBy("node").agg(F.collect_list(F.struct("p", "n")).alias("grams"))
+    rare = stored(own.join(counts, "node").repartition(dealt, "node").mapInArrow(trimmed(_prefixes(similar)), "h long, node long, p int, odd boolean"), "rare")
+    others = rare.where("odd").select("h", F.col("node").alias("a"), "p").join(rare.select("h", F.col("node").alias("b"), F.col("p").alias("q")).distinct(), "h").where("a <> b")
+    shift = _shift(similar)
+    others = others.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.expr("if(a < b, p - q, q - p)").alias("d")).distinct()
+    others = others.withColumn("d", F.explode(F.sequence(F.col("d") - shift, F.col("d") + shift)))
+    others = pairs_of(open_lists.where(short), open_lists.where(short), "a < b").unionByName(near).unionByName(others).distinct()
+    others = stored(others.join(met_pairs.select("u", "v", "d").distinct(), ["u", "v", "d"], "left_anti"), "others")
+    found = stored(found.unionByName(checked(others).drop("d")), "found")
     free_shuffles(keyed.sparkSession)
-    found = stored(found.drop("d").unionByName(checked(others).drop("d")), "found")
     sides = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("us").alias("s"), F.col("ue").alias("e"), F.lit(False).alias("removed")), F.struct(F.col("v").alias("node"), F.col("vs").alias("s"), F.col("ve").alias("e"), F.lit(True).alias("removed"))))
     spans = found.select(sides.alias("x")).select("x.*").distinct()
     per = spans.groupBy("node").agg(F.collect_list(F.struct("s", "e", "removed")).alias("spans"))
