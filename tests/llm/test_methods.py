@@ -149,9 +149,10 @@ def test_rare_shingles_meet_where_paragraphs_repeat(similar):
     met = 0
     for _ in range(60):
         line = [rng.randrange(30) for _ in range(rng.randint(8, 20))]
-        a = (line * 9)[: rng.randint(50, 70)]
+        a = (line * 9)[: rng.randint(52, 70)]
         b = edited(rng, a, [rng.choice(["put in", "left out", "changed"])])
-        x, y = (np.array(t, dtype=np.uint64) for t in (a, b))
+        numbers = {w: i + 1 for i, w in enumerate(dict.fromkeys([*a, *b]))}
+        x, y = (np.array([numbers[w] for w in t], dtype=np.uint64) for t in (a, b))
         grams = [substring.runs(t, 5) for t in (x, y)]
         counts = collections.Counter(np.concatenate(grams).tolist())
         found = []
