@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -427,3 +428,14 @@ def test_sample_has_the_least_hashes(spark):
     assert [int(v[0]) % 2500 for v in neighbours.sampled(rows, 3000, 100)] == want
     alike = rows.withColumn("vec_id", F.lit(7).cast("long"))
     assert neighbours.sampled(alike, 3000, 100).shape == (100, 2) and neighbours.sampled(rows, 3000).shape == (3000, 2)
+
+
+def test_queries_are_copied_to_shards_and_not_to_lists():
+    x = np.random.default_rng(6).normal(size=(4000, 16)).astype(np.float32)
+    model = neighbours.Model(x.astype(np.float64), 4000)
+    lists = neighbours._nearest(x.astype(np.float64), model.centroids)
+    held = [{"list": int(j), "n": int((lists == j).sum()), "far": 9.0, "norm": 9.0} for j in np.unique(lists)]
+    shards = neighbours.Shards(model, held, 1024)
+    asked = pd.DataFrame({"vec_id": range(50), "vector": [v.tobytes() for v in x[:50]], "least": [None] * 50})
+    rows = pd.concat(neighbours._route(model, shards, np.float32, True)([asked]))
+    assert model.lists > 60 and shards.count < 10 and len(rows) == 50 * shards.count and not rows.duplicated(["shard", "vec_id"]).any()
