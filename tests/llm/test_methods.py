@@ -430,6 +430,52 @@ def test_sample_has_the_least_hashes(spark):
     assert neighbours.sampled(alike, 3000, 100).shape == (100, 2) and neighbours.sampled(rows, 3000).shape == (3000, 2)
 
 
+def neighbours_by_all_products(ids, x, asked, k):
+    out = {}
+    for q in asked:
+        score = (x * x[list(ids).index(q)]).sum(1)
+        out[q] = [int(ids[i]) for i in np.lexsort((ids, -score)) if ids[i] != q][:k]
+    return out
+
+
+def found_neighbours(spark, ids, x, k=20):
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(3)
+    found = collections.defaultdict(list)
+    for r in sorted(neighbours.search(rows, lambda i: i % 20 == 0, k).collect()):
+        found[r["query_id"]].append(r["vec_id"])
+    return found
+
+
+def test_queries_unlike_the_rows_find_all_neighbours(spark):
+    rng = np.random.default_rng(3)
+    ids, middles = np.arange(4000), rng.normal(size=(20, 32))
+    x = middles[rng.integers(20, size=4000)] + 1e-3 * rng.normal(size=(4000, 32))
+    x[::20] = rng.normal(size=(200, 32))
+    want = neighbours_by_all_products(ids, x, range(0, 4000, 20), 20)
+    found = found_neighbours(spark, ids, x)
+    assert sum(len(set(found[q]) & set(own)) for q, own in want.items()) == 200 * 20
+
+
+def test_equal_vectors_are_neighbours_by_id(spark):
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(3000)
+    x = rng.normal(size=(3000, 8))
+    x[rng.random(3000) < 0.5] = x[0]
+    assert found_neighbours(spark, ids, x) == neighbours_by_all_products(ids, x, range(0, 3000, 20), 20)
+
+
+def test_needed_copies():
+    rng = random.Random(5)
+    for _ in range(50):
+        ids = np.array([rng.randrange(8) for _ in range(40)])
+        x = np.array([[rng.randrange(2), 1.0] for _ in range(40)])
+        kept = neighbours.needed_copies(x, ids, 3)
+        for own in range(9):
+            for value in (0, 1):
+                every = sorted(ids[(ids != own) & (x[:, 0] == value)])[:3]
+                assert sorted(ids[kept][(ids[kept] != own) & (x[kept][:, 0] == value)])[:3] == every
+
+
 def test_queries_are_copied_to_shards_and_not_to_lists():
     x = np.random.default_rng(6).normal(size=(4000, 16)).astype(np.float32)
     model = neighbours.Model(x.astype(np.float64), 4000)
